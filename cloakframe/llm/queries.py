@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakframe.llm import dac, packing
+from cloakframe.llm import dac, packing, pieces
 from cloakframe.llm.tokens import default_path
 
 
@@ -24,8 +24,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_ids(dac.write_ids(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json")))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded by the prefix table and decoded again."""
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_pack_documents, op6_token_files)}
+    return {f.__name__: f for f in (op5_pack_documents, op6_token_files, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
