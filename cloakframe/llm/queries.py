@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cloakframe.llm import dac, packing, pieces
+from cloakframe.llm import dac, language, packing, pieces, warc
 from cloakframe.llm.tokens import default_path
 
 
@@ -14,6 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back by their index."""
+    return warc.read_records(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
+"""
+
+
 def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
@@ -24,14 +41,21 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_ids(dac.write_ids(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json")))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded by the prefix table and decoded again."""
     return pieces.encode_decode(table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_pack_documents, op6_token_files, op10_sentencepiece)}
+    return {f.__name__: f for f in (op3_warc, op5_pack_documents, op6_token_files, op8_language, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL}
