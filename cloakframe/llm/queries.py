@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import dac, language, packing, pieces, topk, vectors, warc
+from cloakframe.llm import dac, language, minhash, packing, pieces, topk, vectors, warc
 from cloakframe.llm.tokens import default_path
 
 
@@ -46,6 +46,11 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 """
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of documents on shingles of four words."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
@@ -84,7 +89,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_top_k, op3_warc, op5_pack_documents, op6_token_files, op8_language, op9_vector_duplicates, op10_sentencepiece)}
+    return {f.__name__: f for f in (op2_top_k, op3_warc, op4_near_duplicates, op5_pack_documents, op6_token_files, op8_language, op9_vector_duplicates, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
