@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import dac, language, minhash, packing, pieces, topk, vectors, warc
+from cloakframe.llm import dac, language, lines, minhash, packing, pieces, topk, vectors, warc
 from cloakframe.llm.tokens import default_path
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that match an earlier line."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best vectors for every vec_id divisible by 50."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -89,7 +94,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_top_k, op3_warc, op4_near_duplicates, op5_pack_documents, op6_token_files, op8_language, op9_vector_duplicates, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_warc, op4_near_duplicates, op5_pack_documents, op6_token_files, op8_language, op9_vector_duplicates, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
