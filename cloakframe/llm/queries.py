@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import dac, language, lines, minhash, packing, pieces, topk, vectors, warc
+from cloakframe.llm import counts, dac, language, lines, minhash, packing, pieces, topk, vectors, warc
 from cloakframe.llm.tokens import default_path
 
 
@@ -66,6 +66,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_ids(dac.write_ids(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json")))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents, with the pieces and scores of a public vocabulary."""
+    return counts.token_counts(table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from the folds that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -94,7 +99,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_warc, op4_near_duplicates, op5_pack_documents, op6_token_files, op8_language, op9_vector_duplicates, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_warc, op4_near_duplicates, op5_pack_documents, op6_token_files, op7_token_counts, op8_language, op9_vector_duplicates, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
