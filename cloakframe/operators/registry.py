@@ -7,28 +7,30 @@ pseudonym can't be restored are `reversible` false and outside the bijection.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.config import CollisionError, Config
 from cloakframe.functions import pseudonyms as P
 from cloakframe.functions.checks import is_vendor_domain
+from cloakframe.sources.shared import written
 
 SCHEMA = "original string, pseudonym string, detector_type string, omitted boolean"
 COLUMNS = ["original", "pseudonym", "detector_type", "omitted"]
 ATTEMPTS = 1000
 
 
-def generate(kind: Column, original: Column, attempt: Column, config: Config) -> Column:
-    """The pseudonym of an original of a type; `=` for vendors' domains and omitted rules."""
-    h = lambda k: P.keyed_hash(config.key, k, P.slot(kind, original), attempt)
-    out = P.unknown(original, h(kind))
+def with_pseudonym(rows: DataFrame, config: Config) -> DataFrame:
+    """Sets `pseudonym` of rows with detector_type, original, slot, attempt; `=` for vendors' domains and omitted rules."""
+    kind, original, h = F.col("detector_type"), F.col("original"), F.col("_h")
+    out = P.unknown(original, h)
     for name, make in P.GENERATORS.items():
-        out = F.when(kind == name, make(original, h(name))).otherwise(out)
+        out = F.when(kind == name, make(original, h)).otherwise(out)
     for r in config.rules:
-        own = F.lit("=") if r.omitted else P.custom(r.strategy, r.prefix, original, h(kind))
+        own = F.lit("=") if r.omitted else P.custom(r.strategy, r.prefix, original, h)
         out = F.when(kind == f"Custom ({r.name})", own).otherwise(out)
-    return F.when((kind == "Domain/FQDN") & is_vendor_domain(original), "=").otherwise(out)
+    out = F.when((kind == "Domain/FQDN") & is_vendor_domain(original), "=").otherwise(out)
+    return rows.withColumn("_h", P.keyed_hash(config.key, kind, F.col("slot"), F.col("attempt"))).withColumn("pseudonym", out).drop("_h")
 
 
 def masks(config: Config) -> list[str]:
@@ -41,20 +43,20 @@ def build(originals: DataFrame, config: Config = Config(), known: DataFrame | No
     Where two originals get one pseudonym, or one that is itself an original or
     taken in `known`, all but the first by original try the next candidate;
     after a thousand attempts it is a CollisionError. IPv4 addresses move with
-    their /24 network. Collisions are rare, so the loop re-reads only what still
-    collides and mostly ends after its first check.
+    their /24 network. Each round is a written table, so the originals are
+    found once; collisions are rare, and mostly the first check is the last.
     """
     todo = originals.select("original", "detector_type").filter(F.col("original").isNotNull()).dropDuplicates(["original"])
     if known is not None:
         todo = todo.join(known.select("original"), "original", "left_anti")
-    slots = todo.withColumn("slot", P.slot(F.col("detector_type"), F.col("original")))
-    made = slots.withColumn("attempt", F.lit(0)).withColumn("pseudonym", generate(F.col("detector_type"), F.col("original"), F.lit(0), config))
+    slots = todo.withColumn("slot", P.slot(F.col("detector_type"), F.col("original"))).withColumn("attempt", F.lit(0))
+    made = written(with_pseudonym(slots, config), "registry")
     single = masks(config)
     for attempt in range(1, ATTEMPTS + 1):
         live = made.filter((F.col("pseudonym") != "=") & ~F.col("detector_type").isin(single))
         order = Window.partitionBy("pseudonym").orderBy("attempt", "original")
         again = live.withColumn("r", F.row_number().over(order)).filter("r > 1").select("detector_type", "slot")
-        taken = todo.select("original")
+        taken = made.select("original")
         if known is not None:
             taken = taken.union(known.filter("NOT omitted").select("pseudonym"))
         again = again.union(live.join(taken.withColumnRenamed("original", "pseudonym"), "pseudonym", "left_semi").select("detector_type", "slot")).distinct()
@@ -65,7 +67,7 @@ def build(originals: DataFrame, config: Config = Config(), known: DataFrame | No
         again = again.withColumn("again", F.lit(True))
         made = made.join(again, ["detector_type", "slot"], "left")
         made = made.withColumn("attempt", F.when(F.col("again"), attempt).otherwise(F.col("attempt"))).drop("again")
-        made = made.withColumn("pseudonym", generate(F.col("detector_type"), F.col("original"), F.col("attempt"), config))
+        made = written(with_pseudonym(made, config), "registry")
     new = made.select("original", "pseudonym", "detector_type", (F.col("pseudonym") == "=").alias("omitted"))
     return new if known is None else known.select(COLUMNS).unionByName(new)
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakframe.config import Config
+from cloakframe.functions.replacing import Replacer
+from cloakframe.operators.rewrite import matchers
+
 NETWORK, IDENTITY, SYSTEMS, CONTACT = "Red", "Identidad", "Sistemas", "Contacto / Claves"
 #: Parts of type names that decide a category, in order; what has none is a contact or key (fixed values).
 CATEGORIES = [
@@ -55,12 +60,6 @@ def active_and_omitted(registry: DataFrame) -> DataFrame:
 
 def tokens_present(docs: DataFrame, registry: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Which originals occur in which texts, as parts of them: key, original. By matchers, not a join of all pairs."""
-    import pandas as pd
-
-    from cloakframe.config import Config
-    from cloakframe.functions.replacing import Replacer
-    from cloakframe.operators.rewrite import matchers
-
     shared = matchers(registry, Config(strict_word_boundaries=False))
 
     @F.pandas_udf("array<string>")

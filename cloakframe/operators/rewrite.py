@@ -32,7 +32,7 @@ def matchers(registry: DataFrame, config: Config, reverse: bool = False) -> list
     out = []
     for i in range(parts):
         own = pairs if parts == 1 else pairs.filter(F.pmod(F.xxhash64("needle"), F.lit(parts)) == i)
-        out.append(sc.broadcast({r.needle: r.replacement for r in own.toLocalIterator()}))
+        out.append(sc.broadcast({r.needle: r.replacement for r in own.collect()}))
     return out
 
 

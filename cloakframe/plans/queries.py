@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +14,7 @@ from cloakframe.functions import checks as V
 from cloakframe.operators import detect, registry, report, rewrite, structured
 from cloakframe.plans.engine import Engine
 from cloakframe.plans.fixtures import fixture
-from cloakframe.sources import files
+from cloakframe.sources import files, shared
 from cloakframe.sources.vault import Vaults
 from cloakframe.streaming import watch
 
@@ -196,13 +195,7 @@ def registry_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_vault_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.errors import PySparkException
-
-    try:
-        root = spark.conf.get("spark.checkpoint.dir")
-    except PySparkException:
-        root = None
-    vaults = Vaults(spark, f"{root or tempfile.mkdtemp()}/vaults-{uuid.uuid4().hex}")
+    vaults = Vaults(spark, f"{shared.folder(spark)}/vaults-{uuid.uuid4().hex}")
     vaults.create("uno")
     vaults.save("uno", stored(spark, sf_dir))
     return vaults.load("uno")
@@ -293,14 +286,11 @@ def detector_type_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_protect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a stream, protected batch by batch into a table."""
-    import os
-
-    root = f"{tempfile.mkdtemp()}"
+    root = f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
     vaults = Vaults(spark, f"{root}/vaults")
     vaults.create("flujo")
     source = f"{sf_dir}/conversations.parquet"
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).parquet(source if os.path.isdir(source) else f"{sf_dir}/conversations.parquet*")
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")
     stream = stream.withColumn("id", F.concat_ws("-", "conv_id", "turn"))
     watch.protect_stream(stream, Engine(), vaults, "flujo", "id", lambda df, n: df.select("id", "role", "text").write.mode("append").parquet(f"{root}/out"), f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/out")
