@@ -6,9 +6,11 @@ sequence per bin (optimal densification). Groups of bins make the band keys.
 Documents that share a key are candidates, but only star-shaped: each is
 compared with the centre of its bucket. Verified links merge documents into
 components, and only buckets that still hold several components are looked at
-again: with other centres, and at last pair by pair across components. So the
+again: with another centre, and then pair by pair across components. So the
 pairs stay few, yet every candidate pair is either verified or known to be in
-one component.
+one component. In buckets of many documents that are alike but not enough, all
+pairs would be too many rows: their documents are compared in tiles of bounded
+size instead, and a tile returns a spanning forest of its links.
 
 Documents with equal shingle sets are one from the start. Candidates are
 confirmed on their full sets.
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -46,13 +49,9 @@ class Settings:
     hundredths: int = 80
     bands: int = 40
     rows: int = 6
-    rounds: int = 5
-
-    @property
-    def alike(self) -> int:
-        """Of 128 one-bit values, so many agree at least in a pair of that similarity (but for a chance of 1e-9)."""
-        p = (1 + self.hundredths / 100) / 2
-        return int(128 * p - 7 * (128 * p * (1 - p)) ** 0.5)
+    #: Buckets of more documents are compared in tiles, of so many documents a side.
+    small: int = 32
+    tile: int = 512
 
 
 class Hasher(dict):
@@ -179,10 +178,62 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, s: Settings)
 
 
 def alike(x: str, y: str, s: Settings) -> Column:
-    """Whether two rows' sizes and one-bit values allow the similarity."""
+    """Whether two rows' sizes and one-bit values allow the similarity (but for a chance of 1e-9; short sets have wider bounds)."""
     bits = 128 - F.bit_count(F.col(f"{x}s1").bitwiseXOR(F.col(f"{y}s1"))) - F.bit_count(F.col(f"{x}s2").bitwiseXOR(F.col(f"{y}s2")))
-    n, m = F.col(f"{x}n"), F.col(f"{y}n")
-    return (100 * n >= s.hundredths * m) & (100 * m >= s.hundredths * n) & (bits >= s.alike)
+    n, m, p = F.col(f"{x}n"), F.col(f"{y}n"), s.hundredths / 100
+    spread = F.sqrt(p * (1 - p) / 4 / F.least(n, m, F.lit(128)) + (1 - p) / 4 / 128)
+    return (100 * n >= s.hundredths * m) & (100 * m >= s.hundredths * n) & (bits >= 128 * ((1 + p) / 2 - 7 * spread))
+
+
+def compared(clusters: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between documents of one cluster: a spanning forest of those across components.
+
+    clusters has rid, cluster, comp. Documents of a cluster are dealt into
+    chunks, every two chunks meet in a tile. A tile estimates all its pairs by
+    their signatures and confirms the promising ones on the full sets, the most
+    alike first, leaving out those that are known to be connected.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / s.tile).cast("int").alias("chunks"))
+    dealt = clusters.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rid", "comp")
+    near = within_reach(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL"), clusters.select(F.col("rid").alias("id")))
+    texts = near.groupBy(F.col("doc_id").alias("rid")).agg(F.max("text").alias("text"))
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = hasher(s)
+        sets = [m.shingles(t) for t in pdf.text]
+        sizes = np.array([len(x) for x in sets])
+        signs = np.stack([(m.signature(x) & np.uint64(0xFFFF)).astype(np.uint16) for x in sets])
+        side, same = pdf.mine.to_numpy(), bool((pdf.i == pdf.j).all())
+        ids, comp = pdf.rid.tolist(), pdf.comp.tolist()
+        first = {c: k for k, c in reversed(list(enumerate(comp)))}
+        root = [first[c] for c in comp]
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        p, promising = s.hundredths / 100, []
+        for k in range(len(ids)):
+            alike = (signs[k + 1 :] == signs[k]).mean(axis=1)
+            low, high = np.minimum(sizes[k], sizes[k + 1 :]), np.maximum(sizes[k], sizes[k + 1 :])
+            good = (100 * low >= s.hundredths * high) & (alike >= p - 6 * np.sqrt(p * (1 - p) / np.minimum(low, m.bins)))
+            if not same:
+                good &= side[k + 1 :] != side[k]
+            promising += [(-alike[x], k, k + 1 + x) for x in np.flatnonzero(good).tolist() if comp[k] != comp[k + 1 + x]]
+        links = []
+        for _, a, b in sorted(promising):
+            if find(a) != find(b):
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both >= s.hundredths * (sizes[a] + sizes[b] - both):
+                    root[find(a)] = find(b)
+                    links.append((ids[a], ids[b]))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return dealt.join(texts, "rid").groupBy("cluster", "i", "j").applyInPandas(tile, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -205,26 +256,27 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     links = written(verified(pairs, docs, classes, s), "links")
     comps = components(links)
     own = ["rid", "n", "s1", "s2"]
-    for number in range(1, s.rounds + 1):
+
+    def mixed() -> DataFrame:
+        """Members of buckets with several components, with their component, the bucket's size, and a centre: the same in all buckets that have it."""
         placed = members.select("key", *own).join(comps.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("component", "rid")).drop("component")
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key", "rid", F.lit(number)).alias("o"), *own, "comp")).alias("c")).filter("low <> high")
-        mixed = written(mixed.select("key", "size", *[F.col(f"c.{x}").alias(f"c_{x}") for x in (*own, "comp")]), "mixed")
-        open_pairs, n = mixed.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2), F.sum("size")).first()
-        if not n:
-            break
-        left = placed.join(mixed, "key")
-        if number < s.rounds and open_pairs > 4 * n:
-            pairs = left.filter((F.col("comp") != F.col("c_comp")) & alike("", "c_", s)).select(F.least("rid", "c_rid").alias("a"), F.greatest("rid", "c_rid").alias("b"))
-        else:
-            right = left.select("key", *[F.col(x).alias(f"o_{x}") for x in (*own, "comp")])
-            pairs = left.select("key", *own, "comp").join(right, "key").filter((F.col("rid") < F.col("o_rid")) & (F.col("comp") != F.col("o_comp")) & alike("", "o_", s)).select(F.col("rid").alias("a"), F.col("o_rid").alias("b"))
-            number = s.rounds
-        more = written(verified(pairs.distinct(), docs, classes, s), "links")
-        links = links.union(more)
-        if not more.isEmpty():
-            comps = components(links)
-        if number == s.rounds:
-            break
+        buckets = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("rid").alias("o"), *own, "comp")).alias("c")).filter("low <> high")
+        return written(placed.join(buckets.select("key", "size", *[F.col(f"c.{x}").alias(f"c_{x}") for x in (*own, "comp")]), "key"), "mixed")
+
+    left = mixed()
+    pairs = left.filter((F.col("comp") != F.col("c_comp")) & alike("", "c_", s)).select(F.least("rid", "c_rid").alias("a"), F.greatest("rid", "c_rid").alias("b")).distinct()
+    links = written(links.union(verified(pairs, docs, classes, s)), "links")
+    comps = components(links)
+    left = mixed()
+    few, many = left.filter(F.col("size") <= s.small), left.filter(F.col("size") > s.small)
+    right = few.select("key", *[F.col(x).alias(f"o_{x}") for x in (*own, "comp")])
+    pairs = few.select("key", *own, "comp").join(right, "key").filter((F.col("rid") < F.col("o_rid")) & (F.col("comp") != F.col("o_comp")) & alike("", "o_", s)).select(F.col("rid").alias("a"), F.col("o_rid").alias("b")).distinct()
+    links = links.union(written(verified(pairs, docs, classes, s), "links"))
+    if not many.isEmpty():
+        joined = components(many.select(F.col("rid").alias("a"), F.col("c_rid").alias("b")))
+        clusters = many.select("rid", "comp").distinct().join(joined.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "comp", F.coalesce("component", "rid").alias("cluster"))
+        links = links.union(written(compared(written(clusters, "clusters"), docs, s), "links"))
+    comps = components(links)
     found = classes.select("h1", "h2", "rid").join(comps.withColumnRenamed("node", "rid"), "rid", "left").select("h1", "h2", F.coalesce("component", "rid").alias("component_id"))
     linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(found, ["h1", "h2"], "left").select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
