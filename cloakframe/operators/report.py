@@ -64,7 +64,7 @@ def tokens_present(docs: DataFrame, registry: DataFrame, key: str, text: str = "
 
     @F.pandas_udf("array<string>")
     def each(texts: pd.Series) -> pd.Series:
-        matcher = [Replacer(s.value, False) for s in shared]
+        matcher = [Replacer(pairs.value, False) for _, pairs in shared]
         return texts.map(lambda t: sorted({k for m in matcher for _, _, k in m.hits(t)}) if isinstance(t, str) else [])
 
     return docs.select(key, F.explode(each(F.col(text))).alias("original"))

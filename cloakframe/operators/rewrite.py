@@ -8,6 +8,7 @@ collect places, which are then resolved together. The documents never shuffle.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +25,7 @@ _replacers: dict = {}
 
 
 def matchers(registry: DataFrame, config: Config, reverse: bool = False) -> list:
-    """Broadcast dictionaries of at most `matcher_entries` pairs each: a registry of any size is dealt by hash into as many as it takes."""
+    """Names and broadcast dictionaries of at most `matcher_entries` pairs each: a registry of any size is dealt by hash into as many as it takes."""
     pairs = R.mapping(registry, reverse, config)
     n = pairs.count()
     parts = max(1, -(-n // config.matcher_entries))
@@ -32,16 +33,16 @@ def matchers(registry: DataFrame, config: Config, reverse: bool = False) -> list
     out = []
     for i in range(parts):
         own = pairs if parts == 1 else pairs.filter(F.pmod(F.xxhash64("needle"), F.lit(parts)) == i)
-        out.append(sc.broadcast({r.needle: r.replacement for r in own.collect()}))
+        out.append((uuid.uuid4().hex, sc.broadcast({r.needle: r.replacement for r in own.collect()})))
     return out
 
 
-def _replacer(shared, strict: bool) -> Replacer:
-    key = (shared.id if hasattr(shared, "id") else id(shared), strict)
+def _replacer(shared: tuple, strict: bool) -> Replacer:
+    key = (shared[0], strict)
     if key not in _replacers:
         if len(_replacers) >= 4:
             _replacers.clear()
-        _replacers[key] = Replacer(shared.value, strict)
+        _replacers[key] = Replacer(shared[1].value, strict)
     return _replacers[key]
 
 
