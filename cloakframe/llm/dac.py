@@ -107,7 +107,8 @@ class DacFile:
         return value
 
     def tokens(self, i: int, j: int) -> np.ndarray:
-        """The ids at places i to j, without j."""
+        """The ids at places i to j, without j, as far as there are any."""
+        i, j = max(0, i), min(j, self.n_ids)
         out = np.zeros(max(0, j - i), np.uint32)
         where = slice(None)
         for k, (chunks, bitmap, _) in enumerate(self.levels):
