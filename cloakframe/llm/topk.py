@@ -93,8 +93,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, l
                         free = np.flatnonzero(others)
                         found = np.unique(np.concatenate([free[_best(s[i][free], k)] for s in each]))
                     total = sum(s[i][found] for s in each)
+                    if total.dtype == object:
+                        total = np.array([max(FIRST, min(LAST, x)) for x in total], dtype=object)
                     for j in _best(total, k):
-                        score = max(FIRST, min(LAST, int(total[j])))
+                        score = int(total[j])
                         if not phase or score >= int(cut[at + i]):
                             out.append((query, int(items[found[j]]), score))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
