@@ -278,6 +278,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         links = links.union(written(compared(written(clusters, "clusters"), docs, s), "links"))
     comps = components(links)
     found = classes.select("h1", "h2", "rid").join(comps.withColumnRenamed("node", "rid"), "rid", "left").select("h1", "h2", F.coalesce("component", "rid").alias("component_id"))
+    found = written(found, "classes")  # a large group of copies is a hot key, which a join of two plain tables can split
     linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(found, ["h1", "h2"], "left").select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
