@@ -30,8 +30,12 @@ def matches(key: str, text: Column) -> Column:
     found = spans(text, d.pattern, d.group)
     if valid is not None:
         found = F.filter(found, valid)
+    # what a match can't do without, and is found in one quick pass
+    ending = lambda: r"(?i)\.(?:" + d.pattern.rsplit("(?:", 1)[1].split(")", 1)[0] + ")"
     possible = {"dni_nie": text.rlike("[0-9]{7}"), "card": text.rlike("[0-9]{4}"), "phone": text.rlike("[0-9]{2}")}.get(key)
-    if d.hint is not None:
+    if key in ("domain", "attachment"):
+        possible = text.rlike(ending())
+    elif d.hint is not None:
         possible = F.lower(text).contains(d.hint) if d.hint == "0x" else text.contains(d.hint)
     return found if possible is None else F.when(possible, found).otherwise(F.array().cast(SPANS))
 
