@@ -87,6 +87,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 8
     placed = groups.mapInPandas(cells, f"label {kind}, dim int, block int, cell long, rid long, weight long, embedding array<double>")
     key = ["label", "dim", "block", "cell"]
     tiles = placed.groupBy(*key).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / TILE)).cast("int").alias("tiles"))
+    tiles = written(tiles, "tiles")  # so that the join with a dense cell can be split
     # A row stands in its own cell, and probes its own and the next one.
     sides = placed.withColumn("shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("cell", F.col("cell") + F.greatest(F.col("shift"), F.lit(0)))
     dealt = sides.join(tiles, key).withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
