@@ -34,11 +34,16 @@ def place(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    at = place(spark, name)
+    """The table written to the shared folder and read again: cuts lineage, survives lost executors.
+
+    The shuffle files behind it aren't needed any more, but Spark only deletes
+    those of plans that the driver's collector has found to be unreachable.
+    """
+    spark, schema, at = df.sparkSession, df.schema, place(df.sparkSession, name)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
