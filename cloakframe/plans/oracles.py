@@ -178,6 +178,9 @@ def oracle_sql() -> dict[str, str]:
         "registry_active_omitted": f"SELECT count(*) FILTER (NOT omitted) AS active, count(*) FILTER (omitted) AS omitted FROM {STORED}",
         "registry_page": f"SELECT * FROM {STORED} ORDER BY original LIMIT 20 OFFSET 40",
         "registry_vault_roundtrip": f"SELECT * FROM {STORED}",
+        "protect_text": f"""{registry()}, pairs AS (SELECT list(original || chr(1) || pseudonym ORDER BY length(original) DESC) AS p FROM reg WHERE pseudonym <> '='),
+new AS (SELECT doc_id, text AS old, list_reduce(list_prepend(text, p), lambda t, x: replace(t, split_part(x, chr(1), 1), split_part(x, chr(1), 2))) AS text FROM documents, pairs)
+SELECT doc_id, text, text <> old AS changed FROM new""",
         "restore_roundtrip": "SELECT doc_id, text FROM documents",
         "tokens_present": f"{registry()} SELECT doc_id, original FROM documents JOIN (SELECT original FROM reg WHERE pseudonym <> '=') ON contains(text, original)",
         "format_detect": f"""SELECT 'siem' AS kind, 'json' AS format, count(*) AS n FROM events UNION ALL SELECT 'xml', 'xml', count(*) FROM supplier

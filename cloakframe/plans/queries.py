@@ -203,7 +203,7 @@ def registry_vault_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def protect_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Engine().protect(documents(spark, sf_dir), document_registry(spark, sf_dir), kind="plaintext")
-    return out.select("doc_id", "text", F.col("report.replacements_applied").alias("replacements"))
+    return out.select("doc_id", "text", (F.col("report.replacements_applied") > 0).alias("changed"))
 
 
 def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
