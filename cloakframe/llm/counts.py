@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cloakframe.llm.shared import take_turn
+
 MARK = "▁"
 #: What an unknown character costs beyond the lowest score (a fixed value of unigram tokenizers).
 UNKNOWN_PENALTY = 10.0
@@ -105,6 +107,7 @@ class UnigramCounter(dict):
 def counter(path: str) -> UnigramCounter:
     """The worker's counter for this vocabulary; its cache lives as long as the worker."""
     with _lock:
+        take_turn("counts", _made.clear)
         if path not in _made:
             _made[path] = UnigramCounter(vocabulary(path))
         return _made[path]

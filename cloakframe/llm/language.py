@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakframe.llm.shared import take_turn
+
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: Entries of a worker's word cache; it starts afresh when full.
@@ -92,7 +94,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     longest = settings.longest_gram
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             words: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
                 words[lang].update(WORD.findall(text.as_py().lower()))
@@ -155,6 +157,15 @@ class _Worker(dict):
 _workers: dict[str, _Worker] = {}
 
 
+def worker_of(model: Model) -> _Worker:
+    """What this worker keeps for the model; of one model at a time."""
+    take_turn("language", _workers.clear)
+    if model.token not in _workers:
+        _workers.clear()
+        _workers[model.token] = _Worker(model)
+    return _workers[model.token]
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred and lang_score to documents with a `text` column, which alone decides.
 
@@ -169,11 +180,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def each(texts):
         import pandas as pd
 
-        m = shared.value
-        if m.token not in _workers:
-            _workers.clear()
-            _workers[m.token] = _Worker(m)
-        w = _workers[m.token]
+        w = worker_of(shared.value)
         return pd.DataFrame([w.predict(t) for t in texts], columns=["lang_pred", "lang_score"])
 
     found = docs.withColumn("_found", each("text"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.components import components
-from cloakframe.llm.shared import written
+from cloakframe.llm.shared import take_turn, written
 
 #: Entries of a worker's cache of word hashes; it starts afresh when full.
 CACHE = 400_000
@@ -115,6 +115,7 @@ _hashers: dict[Settings, Hasher] = {}
 
 
 def hasher(s: Settings) -> Hasher:
+    take_turn("minhash", _hashers.clear)
     if s not in _hashers:
         _hashers[s] = Hasher(s)
     return _hashers[s]

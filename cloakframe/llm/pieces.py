@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cloakframe.llm.shared import take_turn
+
 MARK = "▁"
 #: Entries of a worker's word cache and of its compatibility cache; each starts afresh when full.
 CACHE = 900_000
@@ -237,6 +239,7 @@ class PieceTable(dict):
 def table(path: str) -> PieceTable:
     """The worker's table for this model; its cache lives as long as the worker."""
     with _lock:
+        take_turn("pieces", _made.clear)
         if path not in _made:
             _made[path] = PieceTable(path)
         return _made[path]

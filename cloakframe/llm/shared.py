@@ -58,3 +58,14 @@ def opened(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+_turn: list = [None, None]
+
+
+def take_turn(name: str, clear) -> None:
+    """Tells that a worker now serves this operator: what another one kept in the worker's memory is given up."""
+    if _turn[0] != name:
+        if _turn[1] is not None:
+            _turn[1]()
+        _turn[:] = [name, clear]

@@ -19,6 +19,8 @@ from array import array
 
 import numpy as np
 
+from cloakframe.llm.shared import take_turn
+
 #: Characters with the same class in every Unicode version, without the numerals that are no digits.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-±´-¸º»¿-ɏ‐-‧]*")
 #: The word pattern of byte-level BPE (a fixed value), with Python's names for the classes.
@@ -89,6 +91,7 @@ class WordEncoder(dict):
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for this file; its cache lives as long as the worker."""
     with _lock:
+        take_turn("tokens", _made.clear)
         if path not in _made:
             _made[path] = WordEncoder(path)
         return _made[path]
