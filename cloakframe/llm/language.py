@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.shared import take_turn
+from cloakframe.llm.shared import take_turn, written
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: Entries of a worker's word cache; it starts afresh when full.
 CACHE = 400_000
 LONGEST = 40
+#: Steps of the sample for each doubling of its size.
+STEPS = 8
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,8 @@ class Settings:
     """Bounds of a model: documents to learn from, words and n-grams kept per language, languages (the most frequent), n-gram lengths."""
 
     sample: int = 8000
+    #: Documents of each label that are learned from at least, so far as it has them, also where `sample` among all labels gives it fewer.
+    least: int = 40
     words: int = 40_000
     grams: int = 30_000
     languages: int = 200
@@ -76,21 +80,30 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learns from documents (doc_id, text, lang) that are not held out and whose lang, text and doc_id aren't null.
-
-    At most about `settings.sample` documents are used, chosen by a hash of the
-    doc_id; the rest of the bounds limit what the driver collects. Without
-    any such document the model has no languages and finds all undetermined.
+    """Learns from documents (doc_id, text, lang) that are not held out, whose lang and doc_id aren't null and whose text has a letter.
+
+    Each label of n documents has at least min(n, q) in the sample, q being the
+    greatest of its share of `settings.sample` by number, an equal share, and
+    `settings.least`: the first by a hash of the doc_id, up to a step of the
+    hash. The steps make it about a tenth more, and documents that repeat a
+    doc_id are drawn together. The rest of the bounds limit what the driver
+    collects. Without any such document the model has no languages and finds
+    all undetermined.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
+    rows = rows.withColumn("step", F.floor(STEPS * F.log2(1.0 + F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 48) - 1)))).cast("int"))
+    steps = written(rows.groupBy("lang", "step").count(), "language-steps")
+    per = steps.groupBy("lang").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
     total = sum(r["count"] for r in per)
     if not total:
         return Model([], [], {}, {}, settings.longest_gram)
     langs = sorted(r["lang"] for r in per)
     n_of = {r["lang"]: r["count"] for r in per}
-    share = min(1.0, settings.sample / total)
-    rows = rows.filter(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < math.ceil(share * 1_000_003)))
+    label = Window.partitionBy("lang")
+    least = F.greatest(F.lit(float(max(settings.least, settings.sample / len(langs)))), F.sum("count").over(label) * (settings.sample / total))
+    before = F.sum("count").over(label.orderBy("step")) - F.col("count")
+    last = steps.filter(F.col("lang").isin(langs)).select("lang", "step", least.alias("least"), before.alias("before")).filter("before < least").groupBy("lang").agg(F.max("step").alias("last"))
+    rows = rows.join(F.broadcast(last), "lang").filter("step <= last")
     longest = settings.longest_gram
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +132,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
             if r["kind"] == kind:
                 raw.setdefault(r["item"], [0.0] * len(langs))[at[r["lang"]]] = r["n"]
                 sums[at[r["lang"]]] += r["n"]
-        norm = [math.log(s + settings.unseen * len(raw)) if s else 0.0 for s in sums]
+        norm = [math.log(s + settings.unseen * len(raw) or 1) for s in sums]
         tables.append({w: [math.log(n + settings.unseen) - z for n, z in zip(ns, norm, strict=True)] for w, ns in raw.items()})
     prior = [math.log(n_of[lang] / total) for lang in langs]
     return Model(langs, prior, tables[0], tables[1], longest)

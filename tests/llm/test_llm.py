@@ -146,6 +146,18 @@ def test_language(spark):
     assert held == {i for i in [*range(120), 500, 501] if zlib.crc32(str(i).encode()) % 4 == 2}
 
 
+def test_language_sample_has_every_label(spark):
+    words = {"en": "the house and of with".split(), "es": "la casa que del con".split(), "fr": "une maison et dans avec".split(), "xx": ["12", "3"]}
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices(words[lang], k=12)), lang) for i, lang in enumerate(["en", "es"] * 400 + ["fr"] * 9 + ["xx"] * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for settings in (language.Settings(sample=8, least=1), language.Settings(sample=8)):
+        model = language.train(docs, settings)
+        got = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+        assert model.languages == ["en", "es", "fr"]
+        assert got == {i: lang if lang != "xx" else "und" for i, _, lang in rows}
+
+
 def links(rows, near):
     """Components by all pairs."""
     root = {i: i for i, _ in rows}
