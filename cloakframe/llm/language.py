@@ -12,11 +12,12 @@ import math
 import re
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,9 @@ from cloakframe.llm.shared import take_turn, written
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-#: Entries of a worker's word cache; it starts afresh when full.
+#: Entries of a worker's word cache, and scores (entries times labels) in it; it starts afresh when full.
 CACHE = 400_000
+CELLS = 8_000_000
 LONGEST = 40
 #: Steps of the sample for each doubling of its size.
 STEPS = 8
@@ -33,38 +35,66 @@ STEPS = 8
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of a model: documents to learn from, words and n-grams kept per language, languages (the most frequent), n-gram lengths."""
+    """Bounds of a model: documents to learn from, words and n-grams kept per language, n-gram lengths. Every language is learned."""
 
     sample: int = 8000
     #: Documents of each label that are learned from at least, so far as it has them, also where `sample` among all labels gives it fewer.
     least: int = 40
     words: int = 40_000
     grams: int = 30_000
-    languages: int = 200
     longest_gram: int = 4
     #: What a word or n-gram counts in a language that lacks it.
     unseen: float = 0.2
 
 
+@dataclass
+class Table:
+    """Log frequencies of words or n-grams; of each it holds only the languages that have it."""
+
+    row: dict[str, int]
+    #: Where each row begins in `at` (numbers of languages) and `value`.
+    start: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+    #: What an item counts in each language that lacks it.
+    lack: np.ndarray
+
+    def get(self, item: str) -> np.ndarray | None:
+        if (i := self.row.get(item)) is None:
+            return None
+        out = self.lack.copy()
+        own = slice(self.start[i], self.start[i + 1])
+        out[self.at[own]] = self.value[own]
+        return out
+
+    def total(self, items: list[str]) -> np.ndarray:
+        return sum(map(self.get, items))
+
+
 @dataclass
 class Model:
     """Log frequencies per language; a worker keeps the scores of words it has met."""
 
     languages: list[str]
     prior: list[float]
-    words: dict[str, list[float]]
-    grams: dict[str, list[float]]
+    words: Table | None
+    grams: Table | None
     longest_gram: int
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def score(self, word: str) -> list[float]:
+    def scores(self, word: str, total: Callable[[list[str]], np.ndarray] | None = None) -> np.ndarray:
+        """The word's score in each language; `total` sums the rows of known n-grams."""
+        if not self.languages:
+            return np.zeros(0)
         if (known := self.words.get(word)) is not None:
             return known
         for n in range(self.longest_gram, 0, -1):
-            known = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
-            if known:
-                return [sum(x) / n for x in zip(*known, strict=True)]
-        return [0.0] * len(self.languages)
+            if found := [g for g in grams_of(word, n) if g in self.grams.row]:
+                return (total or self.grams.total)(found) / n
+        return np.zeros(len(self.languages))
+
+    def score(self, word: str) -> list[float]:
+        return self.scores(word).tolist()
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -86,25 +116,26 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     greatest of its share of `settings.sample` by number, an equal share, and
     `settings.least`: the first by a hash of the doc_id, up to a step of the
     hash. The steps make it about a tenth more, and documents that repeat a
-    doc_id are drawn together. The rest of the bounds limit what the driver
-    collects. Without any such document the model has no languages and finds
-    all undetermined.
+    doc_id are drawn together. Every label is learned; the driver collects the
+    words and n-grams of each within the rest of the bounds, 12 bytes each
+    beside the items themselves. Without any such document the model has no
+    languages and finds all undetermined.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
     rows = rows.withColumn("step", F.floor(STEPS * F.log2(1.0 + F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 48) - 1)))).cast("int"))
     steps = written(rows.groupBy("lang", "step").count(), "language-steps")
-    per = steps.groupBy("lang").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
+    per = steps.groupBy("lang").agg(F.sum("count").alias("count")).collect()
     total = sum(r["count"] for r in per)
     if not total:
-        return Model([], [], {}, {}, settings.longest_gram)
+        return Model([], [], None, None, settings.longest_gram)
     langs = sorted(r["lang"] for r in per)
     n_of = {r["lang"]: r["count"] for r in per}
     label = Window.partitionBy("lang")
     least = F.greatest(F.lit(float(max(settings.least, settings.sample / len(langs)))), F.sum("count").over(label) * (settings.sample / total))
     before = F.sum("count").over(label.orderBy("step")) - F.col("count")
-    last = steps.filter(F.col("lang").isin(langs)).select("lang", "step", least.alias("least"), before.alias("before")).filter("before < least").groupBy("lang").agg(F.max("step").alias("last"))
+    last = steps.select("lang", "step", least.alias("least"), before.alias("before")).filter("before < least").groupBy("lang").agg(F.max("step").alias("last"))
     rows = rows.join(F.broadcast(last), "lang").filter("step <= last")
-    longest = settings.longest_gram
+    longest, number = settings.longest_gram, {lang: i for i, lang in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
@@ -118,50 +149,65 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
                         for g in grams_of(w, k):
                             grams[g] += n
                 for kind, c in ((0, found), (1, grams)):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array([kind] * len(c), pa.int32()), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["lang", "kind", "item", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(c), pa.int32()), pa.array([kind] * len(c), pa.int32()), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["at", "kind", "item", "n"])
 
-    counts = rows.select("text", "lang").mapInArrow(count, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")))
-    kept = counts.filter(F.col("rank") <= F.when(F.col("kind") == 0, settings.words).otherwise(settings.grams)).select("lang", "kind", "item", "n").collect()
-    at = {lang: i for i, lang in enumerate(langs)}
-    tables: list[dict[str, list[float]]] = []
+    counts = rows.select("text", "lang").mapInArrow(count, "at int, kind int, item string, n long").groupBy("at", "kind", "item").agg(F.sum("n").alias("n"))
+    counts = counts.withColumn("rank", F.row_number().over(Window.partitionBy("at", "kind").orderBy(F.desc("n"), "item")))
+    kept = counts.filter(F.col("rank") <= F.when(F.col("kind") == 0, settings.words).otherwise(settings.grams))
+    kept = kept.groupBy("kind", "item").agg(F.collect_list(F.struct("at", "n")).alias("own")).toArrow()
+    tables = []
     for kind in (0, 1):
-        raw: dict[str, list[float]] = {}
-        sums = [0.0] * len(langs)
-        for r in kept:
-            if r["kind"] == kind:
-                raw.setdefault(r["item"], [0.0] * len(langs))[at[r["lang"]]] = r["n"]
-                sums[at[r["lang"]]] += r["n"]
-        norm = [math.log(s + settings.unseen * len(raw) or 1) for s in sums]
-        tables.append({w: [math.log(n + settings.unseen) - z for n, z in zip(ns, norm, strict=True)] for w, ns in raw.items()})
+        part = kept.filter(pc.equal(kept["kind"], kind)).combine_chunks()
+        items, own = part["item"].to_pylist(), pc.list_flatten(part["own"]).combine_chunks()
+        at, n = (own.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        start = np.concatenate([[0], np.cumsum(pc.list_value_length(part["own"]).to_numpy())]).astype(np.int64)
+        sums = np.bincount(at, weights=n, minlength=len(langs))
+        norm = np.log(np.maximum(sums + settings.unseen * len(items), settings.unseen))
+        tables.append(Table({w: i for i, w in enumerate(items)}, start, at.astype(np.int32), np.log(n + settings.unseen) - norm[at], math.log(settings.unseen) - norm))
     prior = [math.log(n_of[lang] / total) for lang in langs]
     return Model(langs, prior, tables[0], tables[1], longest)
 
 
-class _Worker(dict):
-    """From word to its row in `scores`."""
+class _Rows(dict):
+    """From item to its row in `scores`, as far as CACHE and CELLS allow."""
 
-    def __init__(self, model: Model):
+    def __init__(self, of: Callable[[str], np.ndarray], width: int):
         super().__init__()
-        self.model = model
-        self.scores = np.zeros((1024, len(model.languages)))
+        self.of = of
+        self.scores = np.zeros((1024, width))
+        self.most = max(1, CELLS // max(1, width))
+        self.bound = min(CACHE, self.most)
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, item: str) -> int:
         i = len(self)
         if i == len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[i] = self.model.score(word)
-        self[word] = i
+        self.scores[i] = self.of(item)
+        self[item] = i
         return i
 
+    def total(self, items: list[str]) -> np.ndarray:
+        if len(items) > self.most:
+            return sum(self.total(items[k : k + self.most]) for k in range(0, len(items), self.most))
+        if len(self) > self.bound:
+            self.clear()
+        rows = np.fromiter(map(self.__getitem__, items), np.int64, len(items))
+        return np.add.reduce(self.scores.take(rows, 0))
+
+
+class _Worker:
+    """The rows of words and n-grams met."""
+
+    def __init__(self, model: Model):
+        self.model, width = model, len(model.languages)
+        self.grams = _Rows(model.grams.get if width else model.scores, width)
+        self.words = _Rows(lambda word: model.scores(word, self.grams.total), width)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
         if not self.model.languages or not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0
-        if len(self) > CACHE:
-            self.clear()
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        total = self.scores[rows].sum(axis=0) + self.model.prior
+        total = self.words.total(words) + self.model.prior
         odds = np.exp(total - total.max())
         best = int(total.argmax())
         return self.model.languages[best], float(1 / odds.sum())

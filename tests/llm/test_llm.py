@@ -158,6 +158,18 @@ def test_language_sample_has_every_label(spark):
         assert got == {i: lang if lang != "xx" else "und" for i, _, lang in rows}
 
 
+def test_language_learns_every_label(spark, monkeypatch):
+    rows = [(i, " ".join(f"{a}{b}" for a in ["uno", "dos", "tres"] for b in [chr(97 + k // 16) + chr(97 + k % 16)] * 2), f"l{k:03}") for i in range(250 * 12) for k in [i % 250]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert model.languages == [f"l{k:03}" for k in range(250)]
+    assert {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()} == {i: lang for i, _, lang in rows}
+    whole = [language._Worker(model).predict(t) for _, t, _ in rows[:9]]
+    monkeypatch.setattr(language, "CELLS", 500)
+    few = language._Worker(model)
+    assert [x[0] for x in whole] == [few.predict(t)[0] for _, t, _ in rows[:9]] and len(few.words) <= 4
+
+
 def links(rows, near):
     """Components by all pairs."""
     root = {i: i for i, _ in rows}
