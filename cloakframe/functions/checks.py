@@ -145,11 +145,15 @@ def is_ignored_key(key: Column) -> Column:
 def normalize_type(name: Column) -> Column:
     """The display name of a type: wrappings `Custom(...)` are taken off, other spellings replaced; an unknown name is `Custom (name)`.
 
-    A name without any wrapping is read like a wrapped one. Up to eight wrappings are taken off.
+    A name without any wrapping is read like a wrapped one. Wrappings are taken off until none is left: as many
+    as there are both openings before the name and closing brackets after it.
     """
-    plain = F.trim(name)
-    for _ in range(8):
-        plain = F.trim(F.regexp_replace(plain, r"^[Cc]ustom ?\((.*)\)$", "$1"))
+    plain, head, tail = F.trim(name), r"(?:[Cc]ustom ?\( *)", r"(?:\) *)"
+    opened = F.regexp_count(F.regexp_extract(plain, f"^{head}*+", 0), F.lit(r"\("))
+    closed = F.regexp_count(F.regexp_extract(plain, rf"{tail}*+\z", 0), F.lit(r"\)"))
+    times = F.concat(F.lit("{"), F.least(opened, closed).cast("string"), F.lit("}+"))
+    plain = F.regexp_replace(plain, F.concat(F.lit(f"^{head}"), times), F.lit(""))
+    plain = F.trim(F.regexp_replace(plain, F.concat(F.lit(tail), times, F.lit(r"\z")), F.lit("")))
     out = F.lit(None).cast("string")
     for shown, others in C.ALIASES.items():
         out = F.when(plain.isin([shown, *others]), shown).otherwise(out)

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from cloakframe.config import Config, Rule
@@ -49,3 +51,18 @@ def test_positions_rebuild_the_text(spark):
     docs = spark.createDataFrame([(1, text)], "id int, text string")
     for r in detect.findings(docs).collect():
         assert text[r.start_pos : r.end_pos].encode() == r.original.encode() or "😀" in text[: r.start_pos]
+
+
+def test_types_lose_every_wrapping(spark):
+    from cloakframe.functions.checks import normalize_type
+
+    def plain(name):
+        name = name.strip(" ")
+        while (m := re.fullmatch(r"[Cc]ustom ?\((.*)\)", name, re.S)) is not None:
+            name = m[1].strip(" ")
+        return {"Mail": "Custom (Mail)", "Email": "Email", "SID": "Windows SID"}.get(name, f"Custom ({name})")
+
+    names = [head * n + name + ")" * m for head in ("Custom (", "custom(", "Custom( ") for name in ("Email", " SID ", "a (b)", "", "Custom (x") for n in (0, 1, 8, 9, 40) for m in (0, 1, 8, 9, 41)]
+    names += ["Custom (custom( Email ) )", "custom  (Email)", "Custom (a) b)", "CUSTOM (Email)", "Custom (" * 3000 + "Email" + ")" * 3000]
+    rows = spark.createDataFrame([(n,) for n in [*names, None]], "name string").select("name", normalize_type(F.col("name")).alias("out")).collect()
+    assert {r.name: r.out for r in rows} == {n: plain(n) for n in names} | {None: None}
