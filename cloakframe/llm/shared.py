@@ -43,14 +43,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(at)
     del df
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(at)
+    out = spark.read.schema(schema).parquet(at)
+    out.written_at = at
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that `place` named, by Spark's own file system."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def remove(table: DataFrame) -> None:
+    """Deletes a table that `written` made, by Spark's own file system, once all that was read from it is itself written."""
+    context = table.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(table.written_at)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it as long as a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def opened(uri: str):

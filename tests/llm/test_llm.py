@@ -245,6 +245,20 @@ def test_lines_against_all_pairs(spark):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_with_clashing_columns_and_repeated_ids(spark):
+    names = ["kept", "_lines", "_stay", "_d", "own", "_own", "d", "at", "gone", "n", "k", "open"]
+    one, two = "uno dos tres cuatro cinco", "seis siete ocho nueve diez"
+    rows = [(1, f"{one}\n{two}"), (2, two), (2, f"aparte\n{one} "), (2, two), (3, "x " * 50_000 + "\n" + " ".join(f"w{i}" for i in range(20_000))), (4, " ".join(f"w{i}" for i in range(19_999)) + "\n\n \t\r\n"), (5, "")]
+    docs = spark.createDataFrame(rows, DOCS).select("*", *[F.lit(c).alias(c) for c in names])
+    got = lines.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", *names, "n_lines", "n_removed"]
+    found = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect())
+    want = [(1, rows[0][1], 2, 0), (2, "", 1, 1), (2, "", 1, 1), (2, "aparte", 2, 1), (3, rows[4][1], 2, 0), (4, "\n \t\r\n", 4, 1), (5, "", 1, 0)]
+    assert found == want and got.filter(F.col("kept") != "kept").count() == 0
+    with_columns = lines.dedup_lines(docs.limit(0)).columns
+    assert with_columns == got.columns
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(8)
     base = rng.standard_normal((12, 16))
