@@ -27,7 +27,7 @@ from cloakframe.llm.shared import take_turn
 MARK = "▁"
 #: What an unknown character costs beyond the lowest score (a fixed value of unigram tokenizers).
 UNKNOWN_PENALTY = 10.0
-CACHE = 900_000
+CACHE = 500_000
 LONGEST = 64
 
 _made: dict[str, UnigramCounter] = {}

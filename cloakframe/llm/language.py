@@ -21,13 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.shared import take_turn, written
+from cloakframe.llm.shared import take_turn, unused, written
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: Entries of a worker's word cache, and scores (entries times labels) in it; it starts afresh when full.
-CACHE = 400_000
-CELLS = 8_000_000
+CACHE = 200_000
+CELLS = 2_000_000
 LONGEST = 40
 #: Steps of the sample for each doubling of its size.
 STEPS = 8
@@ -35,13 +35,11 @@ STEPS = 8
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of a model: documents to learn from, words and n-grams kept per language, n-gram lengths. Every language is learned."""
+    """Documents to learn from, which bound a model, and n-gram lengths. Every language, word and n-gram of these documents is learned."""
 
-    sample: int = 8000
+    sample: int = 4000
     #: Documents of each label that are learned from at least, so far as it has them, also where `sample` among all labels gives it fewer.
     least: int = 40
-    words: int = 40_000
-    grams: int = 30_000
     longest_gram: int = 4
     #: What a word or n-gram counts in a language that lacks it.
     unseen: float = 0.2
@@ -116,10 +114,10 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     greatest of its share of `settings.sample` by number, an equal share, and
     `settings.least`: the first by a hash of the doc_id, up to a step of the
     hash. The steps make it about a tenth more, and documents that repeat a
-    doc_id are drawn together. Every label is learned; the driver collects the
-    words and n-grams of each within the rest of the bounds, 12 bytes each
-    beside the items themselves. Without any such document the model has no
-    languages and finds all undetermined.
+    doc_id are drawn together. Every label is learned, with all words and
+    n-grams of its documents; the driver collects them, 12 bytes each beside the
+    items themselves. Without any such document the model has no languages and
+    finds all undetermined.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
     rows = rows.withColumn("step", F.floor(STEPS * F.log2(1.0 + F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 48) - 1)))).cast("int"))
@@ -152,9 +150,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(c), pa.int32()), pa.array([kind] * len(c), pa.int32()), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["at", "kind", "item", "n"])
 
     counts = rows.select("text", "lang").mapInArrow(count, "at int, kind int, item string, n long").groupBy("at", "kind", "item").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("rank", F.row_number().over(Window.partitionBy("at", "kind").orderBy(F.desc("n"), "item")))
-    kept = counts.filter(F.col("rank") <= F.when(F.col("kind") == 0, settings.words).otherwise(settings.grams))
-    kept = kept.groupBy("kind", "item").agg(F.collect_list(F.struct("at", "n")).alias("own")).toArrow()
+    kept = counts.groupBy("kind", "item").agg(F.collect_list(F.struct("at", "n")).alias("own")).toArrow()
     tables = []
     for kind in (0, 1):
         part = kept.filter(pc.equal(kept["kind"], kind)).combine_chunks()
@@ -242,5 +238,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         w = worker_of(shared.value)
         return pd.DataFrame([w.predict(t) for t in texts], columns=["lang_pred", "lang_score"])
 
-    found = docs.withColumn("_found", each("text"))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], "_found.lang_pred", "_found.lang_score")
+    own = unused("found", docs.columns)
+    # named non-deterministic, or a filter of the result would be pushed below it and predict each text again
+    found = docs.withColumn(own, each.asNondeterministic()("text"))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(own)["lang_pred"].alias("lang_pred"), F.col(own)["lang_score"].alias("lang_score"))

@@ -29,7 +29,7 @@ from cloakframe.llm.shared import take_turn
 
 MARK = "▁"
 #: Entries of a worker's word cache and of its compatibility cache; each starts afresh when full.
-CACHE = 900_000
+CACHE = 500_000
 PAIRS = 400_000
 LONGEST = 64
 UNKNOWN = -1

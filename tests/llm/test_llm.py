@@ -1,12 +1,15 @@
 """Operators against brute force, on small tables with nulls, ties, repeats and long texts."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cloakframe.llm import counts, dac, language, lines, minhash, packing, pieces, tokens, topk, vectors, warc
@@ -146,6 +149,53 @@ def test_language(spark):
     assert held == {i for i in [*range(120), 500, 501] if zlib.crc32(str(i).encode()) % 4 == 2}
 
 
+def test_language_against_brute_force(spark):
+    rng = random.Random(12)
+    vocab = {lang: ["".join(rng.choices(letters, k=rng.randrange(1, 7))) for _ in range(30)] for lang, letters in {"aa": "abcde", "bb": "cdefg", "cc": "efghi"}.items()}
+    rows = [(i, " ".join(rng.choices(vocab[lang], k=rng.randrange(1, 9))) + rng.choice(["", " 12 ", "\n!", " zzz ", " abé"]), lang if i % 9 else None) for i in range(150) for lang in [rng.choice(["aa", "bb", "cc"])]]
+    rows += [(200, "ab " * 20_000, "aa"), (201, "ab " * 20_000, "aa"), (202, None, "aa"), (203, "", None), (204, " 1 ", "bb"), (205, "q x", None), (None, "abc", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("found", F.lit(1)).withColumn("_found", F.lit(2))
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    grams = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w)
+    learned = [(t, lang) for i, t, lang in rows if i is not None and lang and words(t) and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = sorted({lang for _, lang in learned})
+    seen = [{lang: Counter() for lang in langs} for _ in range(2)]
+    for t, lang in learned:
+        for w in words(t):
+            seen[0][lang][w] += 1
+            seen[1][lang].update(g for n in range(1, 5) for g in grams(w, n))
+    known = [set().union(*by.values()) for by in seen]
+    logs = lambda kind, item: [math.log(by[item] + 0.2) - math.log(sum(by.values()) + 0.2 * len(known[kind])) for by in seen[kind].values()]
+
+    def score(w):
+        if w in known[0]:
+            return logs(0, w)
+        for n in range(4, 0, -1):
+            if found := [logs(1, g) for g in grams(w, n) if g in known[1]]:
+                return [sum(x) / n for x in zip(*found, strict=True)]
+        return [0.0] * len(langs)
+
+    got = language.predict(docs, language.train(docs, language.Settings(sample=100_000)))
+    assert got.columns == [*docs.columns, "lang_pred", "lang_score"] and got.filter("found = 1 AND _found = 2").count() == len(rows)
+    by_text = {r.text: r for r in got.collect()}
+    for _, t, _ in rows:
+        if not words(t):
+            assert by_text[t].lang_pred == "und" and by_text[t].lang_score == 0
+            continue
+        total = [math.log(sum(x == lang for _, x in learned) / len(learned)) for lang in langs]
+        for w in words(t):
+            total = [a + b for a, b in zip(total, score(w), strict=True)]
+        odds = [math.exp(x - max(total)) for x in total]
+        assert by_text[t].lang_pred == langs[total.index(max(total))] and abs(by_text[t].lang_score - 1 / sum(odds)) < 1e-6
+    # a tie goes to the first language by name
+    even = spark.createDataFrame([(4 * k + j, "uno dos", lang) for k in range(8) for j, lang in enumerate(["yy", "xx", "yy", "xx"])], "doc_id long, text string, lang string").filter(~language.held_out())
+    both = even.groupBy("lang").count().collect()
+    n = min(r["count"] for r in both)
+    even = even.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).filter(f"k <= {n}")
+    assert {r.lang_pred for r in language.predict(even, language.train(even)).collect()} == {"xx"}
+    assert language.predict(docs.limit(0), language.train(docs)).count() == 0 and "ArrowEvalPython" in (plan := got.filter("lang_pred <> 'und'")._jdf.queryExecution().executedPlan().toString()) and plan.count("ArrowEvalPython") == 1
+
+
 def test_language_sample_has_every_label(spark):
     words = {"en": "the house and of with".split(), "es": "la casa que del con".split(), "fr": "une maison et dans avec".split(), "xx": ["12", "3"]}
     rng = random.Random(7)
@@ -220,6 +270,17 @@ def test_minhash_against_all_pairs(spark, small):
     assert kept == {i for i in comp if comp[i] == i} | {None}
 
 
+def test_minhash_with_repeated_ids_and_long_texts(spark):
+    rng = random.Random(15)
+    one, two, three = (" ".join(f"{c}{rng.randrange(9999)}" for _ in range(60)) for c in "abc")
+    long = " ".join(f"w{rng.randrange(99_999)}" for _ in range(60_000))
+    rows = [(5, one), (5, two), (5, two), (7, one + " x"), (9, two + " y"), (11, three), (13, long), (14, long + " z"), (15, "")]
+    docs = spark.createDataFrame(rows, DOCS).select("*", *[F.lit(1).alias(c) for c in ("h1", "set", "kept", "component_id", "rid")])
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True), (13, 13, True), (14, 13, False), (15, 15, True)}
+    assert minhash.keep_one(docs).columns == docs.columns
+
+
 def test_lines_against_all_pairs(spark):
     rng = random.Random(6)
     vocab = [f"p{i}" for i in range(40)]
