@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.components import components
-from cloakframe.llm.shared import take_turn, written
+from cloakframe.llm.shared import remove, take_turn, written
 
 #: Entries of a worker's cache of word hashes; it starts afresh when full.
 CACHE = 400_000
@@ -155,27 +156,47 @@ def within_reach(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(bits), "word").filter(F.expr("getbit(bits, cast(_p & 63 as int)) = 1")).drop("_p", "word", "bits")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """Of pairs (a, b) those whose full shingle sets are alike."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    near = within_reach(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL"), ids)
-    texts = near.groupBy("doc_id").agg(F.max("text").alias("text"))
+def sets_of(docs: DataFrame, ids: DataFrame, s: Settings, repeated: bool) -> DataFrame:
+    """doc_id and set, the packed hashes of the shingles, of the documents among ids (id) and a few more; one row per text where ids repeat."""
+    near = within_reach(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"), ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = hasher(s)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([m.shingles(t.as_py()).tobytes() for t in part.column("text")], pa.binary())], ["doc_id", "set"])
+
+    sets = near.mapInArrow(run, "doc_id long, set binary")
+    return sets.dropDuplicates() if repeated else sets
+
+
+def verified(pairs: DataFrame, docs: DataFrame, s: Settings, repeated: bool) -> DataFrame:
+    """Of pairs (a, b) those whose full shingle sets are alike.
+
+    A centre of a hot bucket is in many pairs: the sets are a written table, so that the joins with them can be split.
+    """
+    pairs = written(pairs, "pairs")
+    sets = written(sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), s, repeated), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, last, own = hasher(s), None, np.empty(0, np.uint64)
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (a, x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True)):
-                if a != last:
-                    last, own = a, m.shingles(x.as_py())
-                other = m.shingles(y.as_py())
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep[i] = 100 * both >= s.hundredths * (len(own) + len(other) - both)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = both > 0 and 100 * both >= s.hundredths * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
+    links = written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    remove(sets)
+    return links
+
+
+#: Candidates are left out only where an estimate is so many standard deviations off.
+SIGMAS = 7
 
 
 def alike(x: str, y: str, s: Settings) -> Column:
@@ -183,10 +204,10 @@ def alike(x: str, y: str, s: Settings) -> Column:
     bits = 128 - F.bit_count(F.col(f"{x}s1").bitwiseXOR(F.col(f"{y}s1"))) - F.bit_count(F.col(f"{x}s2").bitwiseXOR(F.col(f"{y}s2")))
     n, m, p = F.col(f"{x}n"), F.col(f"{y}n"), s.hundredths / 100
     spread = F.sqrt(p * (1 - p) / 4 / F.least(n, m, F.lit(128)) + (1 - p) / 4 / 128)
-    return (100 * n >= s.hundredths * m) & (100 * m >= s.hundredths * n) & (bits >= 128 * ((1 + p) / 2 - 7 * spread))
+    return (100 * n >= s.hundredths * m) & (100 * m >= s.hundredths * n) & (bits >= 128 * ((1 + p) / 2 - SIGMAS * spread))
 
 
-def compared(clusters: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+def compared(clusters: DataFrame, docs: DataFrame, s: Settings, repeated: bool) -> DataFrame:
     """Links (a, b) between documents of one cluster: a spanning forest of those across components.
 
     clusters has rid, cluster, comp. Documents of a cluster are dealt into
@@ -196,16 +217,15 @@ def compared(clusters: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / s.tile).cast("int").alias("chunks"))
     dealt = clusters.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rid", "comp")
-    near = within_reach(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL"), clusters.select(F.col("rid").alias("id")))
-    texts = near.groupBy(F.col("doc_id").alias("rid")).agg(F.max("text").alias("text"))
+    sets = written(sets_of(docs, clusters.select(F.col("rid").alias("id")), s, repeated).withColumnRenamed("doc_id", "rid"), "sets")
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         m = hasher(s)
-        sets = [m.shingles(t) for t in pdf.text]
+        sets = [np.frombuffer(x, np.uint64) for x in pdf.set]
         sizes = np.array([len(x) for x in sets])
-        signs = np.stack([(m.signature(x) & np.uint64(0xFFFF)).astype(np.uint16) for x in sets])
+        signs = np.stack([(m.signature(x) & np.uint64(0xFFFF)).astype(np.uint16) if len(x) else np.zeros(m.bins, np.uint16) for x in sets])
         side, same = pdf.mine.to_numpy(), bool((pdf.i == pdf.j).all())
         ids, comp = pdf.rid.tolist(), pdf.comp.tolist()
         first = {c: k for k, c in reversed(list(enumerate(comp)))}
@@ -221,7 +241,7 @@ def compared(clusters: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
         for k in range(len(ids)):
             alike = (signs[k + 1 :] == signs[k]).mean(axis=1)
             low, high = np.minimum(sizes[k], sizes[k + 1 :]), np.maximum(sizes[k], sizes[k + 1 :])
-            good = (100 * low >= s.hundredths * high) & (alike >= p - 6 * np.sqrt(p * (1 - p) / np.minimum(low, m.bins)))
+            good = (100 * low >= s.hundredths * high) & (alike >= p - SIGMAS * np.sqrt(p * (1 - p) / np.minimum(low, m.bins)))
             if not same:
                 good &= side[k + 1 :] != side[k]
             promising += [(-alike[x], k, k + 1 + x) for x in np.flatnonzero(good).tolist() if comp[k] != comp[k + 1 + x]]
@@ -234,7 +254,7 @@ def compared(clusters: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
                     links.append((ids[a], ids[b]))
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    return dealt.join(texts, "rid").groupBy("cluster", "i", "j").applyInPandas(tile, "a long, b long")
+    return dealt.join(sets, "rid").groupBy("cluster", "i", "j").applyInPandas(tile, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -244,17 +264,22 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     doc_id reachable by links, itself included), kept (doc_id = component_id).
     Texts that are null, empty or without words have no shingles and link with
     nothing. A row without doc_id links with nothing, has no component and is
-    kept. Rows that share a doc_id are one node; where their texts differ, links
-    are confirmed on the greatest of the texts.
+    kept. Rows that share a doc_id are one node, with the links of all its texts.
     """
     rows = written(sketches(docs, s), "sketches")
-    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rid"), *[F.first(c).alias(c) for c in ("n_shingles", "s1", "s2", "bands")])
-    each = classes.select(F.explode("bands").alias("key"), F.struct("rid", F.col("n_shingles").alias("n"), "s1", "s2").alias("m"))
+    able = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = able.groupBy("h1", "h2").agg(F.min("doc_id").alias("rid"), *[F.first(c).alias(c) for c in ("n_shingles", "s1", "s2", "bands")])
+    often = able.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("h1").alias("low"), F.max("h1").alias("high")).filter("rows > 1")
+    repeated = not often.isEmpty()
+    each = classes.select(F.explode_outer("bands").alias("key"), F.struct("rid", F.col("n_shingles").alias("n"), "s1", "s2").alias("m"))
     shared = each.groupBy("key").agg(F.min("m").alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     # members of buckets that are shared, with the centre of the first round
     members = written(each.join(shared, "key").select("key", *[F.col(f"m.{x}").alias(x) for x in ("rid", "n", "s1", "s2")], *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("rid", "n", "s1", "s2")]), "members")
     pairs = members.filter((F.col("rid") != F.col("c_rid")) & alike("", "c_", s)).select(F.col("c_rid").alias("a"), F.col("rid").alias("b")).distinct()
-    links = written(verified(pairs, docs, classes, s), "links")
+    links = verified(pairs, docs, s, repeated)
+    if repeated:  # the classes of one document's texts
+        several = able.join(often.filter("low <> high").select("doc_id"), "doc_id").select("h1", "h2", "doc_id")
+        links = written(links.union(several.join(classes.select("h1", "h2", "rid"), ["h1", "h2"]).select(F.col("rid").alias("a"), F.col("doc_id").alias("b"))), "links")
     comps = components(links)
     own = ["rid", "n", "s1", "s2"]
 
@@ -266,18 +291,22 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     left = mixed()
     pairs = left.filter((F.col("comp") != F.col("c_comp")) & alike("", "c_", s)).select(F.least("rid", "c_rid").alias("a"), F.greatest("rid", "c_rid").alias("b")).distinct()
-    links = written(links.union(verified(pairs, docs, classes, s)), "links")
-    comps = components(links)
-    left = mixed()
+    more = verified(pairs, docs, s, repeated)
+    if not more.isEmpty():
+        links = links.union(more)
+        comps = components(links)
+        left = mixed()
     few, many = left.filter(F.col("size") <= s.small), left.filter(F.col("size") > s.small)
     right = few.select("key", *[F.col(x).alias(f"o_{x}") for x in (*own, "comp")])
     pairs = few.select("key", *own, "comp").join(right, "key").filter((F.col("rid") < F.col("o_rid")) & (F.col("comp") != F.col("o_comp")) & alike("", "o_", s)).select(F.col("rid").alias("a"), F.col("o_rid").alias("b")).distinct()
-    links = links.union(written(verified(pairs, docs, classes, s), "links"))
+    more = [verified(pairs, docs, s, repeated)]
     if not many.isEmpty():
         joined = components(many.select(F.col("rid").alias("a"), F.col("c_rid").alias("b")))
         clusters = many.select("rid", "comp").distinct().join(joined.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "comp", F.coalesce("component", "rid").alias("cluster"))
-        links = links.union(written(compared(written(clusters, "clusters"), docs, s), "links"))
-    comps = components(links)
+        more.append(written(compared(written(clusters, "clusters"), docs, s, repeated), "links"))
+    more = [x for x in more if not x.isEmpty()]
+    if more:
+        comps = components(reduce(DataFrame.union, more, links))
     found = classes.select("h1", "h2", "rid").join(comps.withColumnRenamed("node", "rid"), "rid", "left").select("h1", "h2", F.coalesce("component", "rid").alias("component_id"))
     found = written(found, "classes")  # a large group of copies is a hot key, which a join of two plain tables can split
     linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(found, ["h1", "h2"], "left").select("doc_id", "n_shingles", "component_id")
