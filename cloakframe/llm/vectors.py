@@ -25,6 +25,8 @@ from cloakframe.llm.topk import usable
 
 TILE = 2048
 SLACK = 1e-6
+#: What a squared distance in single precision may be off.
+SINGLE = 1e-5
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -54,11 +56,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 8
     ignored. Returns vec_id, n_links, component_id, kept, one row per row.
     Vectors that are null, zero, hold null or non-finite components or differ in
     length link with nothing; nor do rows with a null `within` or vec_id (their
-    component is their own vec_id). Rows of one vec_id are one node.
+    component is their own vec_id). Of rows that share a vec_id the one with the
+    greatest label and vector takes part, and its results are those of all of
+    them that could take part.
     """
-    bare = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(within).alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    bare = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(within).alias("label"), F.col("embedding").alias("embedding"))
     able = usable() & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    groups = written(bare.filter(able).groupBy("label", "embedding").agg(F.min("vec_id").alias("rid"), F.count(F.lit(1)).alias("weight")), "vectors")
+    each = bare.filter(able)
+    repeated = not each.groupBy("vec_id").count().filter("count > 1").isEmpty()
+    if repeated:
+        each = written(each.groupBy("vec_id").agg(F.max(F.struct("label", "embedding")).alias("m")).select("vec_id", "m.label", "m.embedding"), "vectors")
+    groups = written(each.groupBy("label", "embedding").agg(F.min("vec_id").alias("rid"), F.count(F.lit(1)).alias("weight")), "vectors")
     dims = [r[0] for r in groups.select(F.size("embedding").alias("d")).distinct().limit(1000).collect()]
     budget = 2 * (1 - threshold)
     turns = {d: rotation(d) for d in dims}
@@ -83,8 +91,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 8
                     at = np.floor(turned[:, s[0]] / np.sqrt(shares(dim)[i])).astype(int)
                     yield pd.DataFrame({"label": part.label, "dim": dim, "block": i, "cell": at, "rid": part.rid, "weight": part.weight, "embedding": part.embedding})
 
-    kind = groups.schema["label"].dataType.simpleString()
-    placed = groups.mapInPandas(cells, f"label {kind}, dim int, block int, cell long, rid long, weight long, embedding array<double>")
+    kind, vector = (groups.schema[c].dataType.simpleString() for c in ("label", "embedding"))
+    placed = groups.mapInPandas(cells, f"label {kind}, dim int, block int, cell long, rid long, weight long, embedding {vector}")
     key = ["label", "dim", "block", "cell"]
     tiles = placed.groupBy(*key).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / TILE)).cast("int").alias("tiles"))
     tiles = written(tiles, "tiles")  # so that the join with a dense cell can be split
@@ -104,14 +112,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 8
             (x, xt), (y, yt) = units(home.embedding), units(probe.embedding)
             xr, yr = home.rid.to_numpy(), probe.rid.to_numpy()
             s = parts[block]
-            gap = (xt[:, s] ** 2).sum(1)[:, None] + (yt[:, s] ** 2).sum(1)[None, :] - 2 * xt[:, s] @ yt[:, s].T
-            i, j = np.nonzero((gap <= share[block]) & ((probe["shift"].to_numpy() == 1)[None, :] | (xr[:, None] < yr[None, :])))
+            xs, ys = xt[:, s], yt[:, s]
+            # one product gives all squared distances of the block; single precision is off by far less than its slack
+            left = np.hstack([-2 * xs, (xs**2).sum(1)[:, None], np.ones((len(xs), 1))]).astype(np.float32)
+            right = np.hstack([ys, np.ones((len(ys), 1)), (ys**2).sum(1)[:, None]]).astype(np.float32)
+            next_one = probe["shift"].to_numpy() == 1
             links = np.zeros(len(xr)), np.zeros(len(yr))
             kept_i, kept_j = [], []
-            for at in range(0, len(i), 200_000):
-                a, b = i[at : at + 200_000], j[at : at + 200_000]
-                good = np.einsum("ij,ij->i", x[a], y[b]) >= threshold
-                a, b = a[good], b[good]
+            for at in range(0, len(xr), 256):
+                i, j = np.nonzero(left[at : at + 256] @ right.T <= np.float32(share[block] + SINGLE))
+                i += at
+                meet = next_one[j] | (xr[i] < yr[j])
+                i, j = i[meet], j[meet]
+                each = ((xs[i] - ys[j]) ** 2).sum(1) <= share[block]
+                i, j = i[each], j[each]
+                good = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
+                a, b = i[good], j[good]
                 each = np.stack([((xt[a][:, t] - yt[b][:, t]) ** 2).sum(1) <= share[k] for k, t in enumerate(parts[:block])], 1) if block else np.zeros((len(a), 0), bool)
                 new = ~each.any(axis=1)
                 np.add.at(links[0], a[new], probe.weight.to_numpy()[b[new]])
@@ -136,6 +152,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 8
     comps = components(found.filter("link").select("a", "b")).withColumnRenamed("node", "rid")
     info = classes.join(sums, "rid", "left").join(comps, "rid", "left").select("label", "embedding", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rid").alias("component_id"))
     rows = bare.withColumn("able", F.coalesce(able, F.lit(False)))
-    linked = rows.filter("able").join(info, ["label", "embedding"], "left").select("vec_id", "n_links", "component_id")
+    linked = (each if repeated else rows.filter("able")).join(info, ["label", "embedding"], "left").select("vec_id", "n_links", "component_id")
+    if repeated:
+        linked = rows.filter("able").select("vec_id").join(linked, "vec_id")
     alone = rows.filter("NOT able").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
