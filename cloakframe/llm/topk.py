@@ -1,13 +1,16 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
 The dimensions are dealt into lists; an item's score is the sum of its scores
-in the lists. First each block of rows gathers the best entries of every list
-and resolves those few exactly; the k-th best over all blocks is a cutoff that
-no item of the answer can be below. The cutoff is sent out with the queries,
-and an item that reaches it must reach its m-th part in one of the m lists: only
-such entries are collected, and only their remaining scores are resolved exactly.
+in the lists. First one block of rows in eight gathers the best entries of every
+list and resolves those few exactly; the k-th best of them is a cutoff that
+no item of the answer can be below, whichever rows it comes from. The cutoff goes
+with its query to every block, and an item that reaches it must reach its m-th
+part in one of the m lists: only such entries are collected, and only their
+scores are summed up exactly.
 
 Queries meet rows in blocks of bounded size, so a task holds one block of each.
+The queries, a share of the rows, grow with the table, so they and their cutoffs
+are dealt to the blocks by a shuffle.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from cloakframe.llm.shared import written
 
 ROWS, QUERIES, AT_ONCE = 8192, 1024, 128
+#: One block in so many gives the cutoff.
+SHARE = 8
 FIRST, LAST = -(2**63), 2**63 - 1
 
 
@@ -56,13 +61,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, l
     vectors has vec_id (long) and embedding; other columns are ignored. Vectors
     that are null or hold null or non-finite components, and rows without
     vec_id, take no part. Only vectors of one length are compared. A row with
-    the query's vec_id is the query's own; a query that repeats counts once.
-    Ties go to the smaller vec_id. Scores beyond a long are cut to its range.
+    the query's vec_id is the query's own; of a query that repeats with other
+    vectors the greatest is asked. Ties go to the smaller vec_id. Scores beyond a long are cut to its range.
     """
     rows = vectors.filter(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = rows.filter(is_query).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = written(rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.max("embedding").alias("embedding")), "queries")
     n = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     v, q = max(1, -(-n[0] // ROWS)), max(1, -(-n[1] // QUERIES))
+    first = -(-v // SHARE)
     series = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     right = rows.select(F.size("embedding").alias("dim"), series(q).alias("qb"), F.pmod(F.xxhash64("vec_id"), F.lit(v)).cast("int").alias("vb"), "vec_id", "embedding")
     key = ["dim", "qb", "vb"]
@@ -102,8 +108,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, l
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     def phase(queries: DataFrame, number: int) -> DataFrame:
-        left = queries.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(q)).cast("int").alias("qb"), series(v).alias("vb"), "query_id", F.col("embedding").alias("asked"), *["cutoff"][: number])
-        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda x, y: resolve(x, y, number), "query_id long, vec_id long, score long")
+        left = queries.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(q)).cast("int").alias("qb"), series(v if number else first).alias("vb"), "query_id", F.col("embedding").alias("asked"), *["cutoff"][: number])
+        own = right if number else right.filter(F.col("vb") < first)
+        found = left.groupBy(*key).cogroup(own.groupBy(*key)).applyInPandas(lambda x, y: resolve(x, y, number), "query_id long, vec_id long, score long")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

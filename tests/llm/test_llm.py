@@ -67,6 +67,12 @@ def test_dac_files(spark):
             f = dac.DacFile(dac.to_bytes(np.array([5]), np.array([len(ids)]), ids, bits))
             assert f.tokens(0, len(ids)).tolist() == ids.tolist() and [f.token(i) for i in range(len(ids))] == ids.tolist()
             assert f.tokens(700, 1500).tolist() == ids[700:1500].tolist()
+            assert [x.tolist() for _, _, x in f.documents(0, 1)] == [ids.tolist()]
+    read = []
+    data = dac.to_bytes(np.arange(1000), np.full(1000, 100), rng.integers(0, 50_000, 100_000).astype(np.uint32))
+    f = dac.DacFile(lambda at, n: read.append(n) or memoryview(data)[at : at + n])
+    f.token(77_777)
+    assert len(list(f.documents(500, 510))) == 10 and sum(read) < 6000
     docs = documents(spark)
     e, at = tokens.encoder(BPE), 0
     want = []
@@ -75,7 +81,9 @@ def test_dac_files(spark):
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4"))))
         at += len(ids)
     for size in (10, 4_000_000):
-        rows = dac.read_ids(dac.write_ids(docs.repartition(3), BPE, file_ids=size)).collect()
+        back = dac.read_ids(dac.write_ids(docs.repartition(3), BPE, file_ids=size), task_ids=50)
+        rows = back.collect()
+        assert size == 10 or back.rdd.getNumPartitions() > 5
         assert sorted(map(tuple, rows), key=lambda r: r[1]) == want
     assert dac.read_ids(dac.write_ids(docs.limit(0), BPE)).count() == 0
 
@@ -130,6 +138,10 @@ def test_warc(spark):
     kinds = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got}
     assert (9, "revisit", 5, 123) in kinds and (5, "response", None, 123) in kinds and (6, "response", None, 5) in kinds and (4, "revisit", 2, 160) in kinds
     assert {r.url for r in got} == {r[1] for r in rows}
+    many = warc.read_records(index, task_bytes=300)
+    assert many.rdd.getNumPartitions() > 3 and sorted(map(str, many.collect())) == sorted(map(str, warc.read_records(index).collect()))
+    clashing = pages.select("*", *[F.lit(1).alias(c) for c in ("digest", "path", "offset", "refers_to", "first", "n")])
+    assert warc.read_records(warc.write_archives(clashing)).count() == len(rows) and warc.read_records(warc.write_archives(pages.limit(0))).count() == 0
     one = warc.read_records(index.filter("page_id = 4")).collect()
     assert [r.refers_to for r in one] == [2]
     assert list(warc.ranges(iter([("a", 0, 5), ("a", 5, 5), ("a", 99, 1), ("b", 0, 1)]), 50, 10)) == [("a", 0, 10, [(0, 5), (5, 5)]), ("a", 99, 100, [(99, 1)]), ("b", 0, 1, [(0, 1)])]
@@ -341,6 +353,10 @@ def test_vectors_against_all_pairs(spark):
         assert (got[i].component_id, got[i].n_links) == (want[i], n[i])
     assert all(got[i].n_links == 0 and got[i].kept for i in (200, 201, 202, 203, 204, 207))
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (1, [1.0, 0.01], 0), (2, [1.0, 0.02], 0), (3, [0.0, 1.0], 0), (3, None, 0), (4, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    twice = twice.select("*", *[F.lit(1).alias(c) for c in ("rid", "weight", "cell", "able", "kept")])
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(twice).collect())
+    assert found == [(1, 1, 1)] * 3 + [(2, 1, 1), (3, 0, 3), (3, 0, 3), (4, 0, 4)]
 
 
 def test_top_k_against_all_pairs(spark):
@@ -357,6 +373,23 @@ def test_top_k_against_all_pairs(spark):
         scores = sorted(((-cap(sum(a * b for a, b in zip(ints[q], v, strict=True))), i) for i, v in ints.items() if i != q and len(v) == len(ints[q])))
         assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 2.0]), (0, [1.0, 0.0]), *((i, [i / 9, 1.0]) for i in range(1, 9))], "vec_id long, embedding array<double>")
+    twice = twice.select("*", *[F.lit(1).alias(c) for c in ("qb", "vb", "cutoff", "query_id", "rank")])
+    assert [(r.vec_id, r.score) for r in topk.search(twice, F.col("vec_id") == 0).orderBy("rank").collect()] == [(i, sum(int(256 * x) * y for x, y in zip((i / 9, 1.0), (256, 0), strict=True))) for i in range(8, 3, -1)]
+
+
+@pytest.mark.parametrize("rows", [7, 8192])
+def test_top_k_over_blocks(spark, monkeypatch, rows):
+    monkeypatch.setattr(topk, "ROWS", rows)
+    monkeypatch.setattr(topk, "QUERIES", rows)
+    rng = np.random.default_rng(10)
+    x = rng.integers(-3, 4, (200, 6)) / 2
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 10 == 0).collect()}
+    ints = np.floor(x * 256).astype(int)
+    for q in range(0, 200, 10):
+        best = sorted((-int(ints[q] @ ints[i]), i) for i in range(200) if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
 
 
 def test_components(spark):
