@@ -27,6 +27,8 @@ from cloakframe.llm.shared import opened, place, written
 LEAST = 100
 #: A read spans at most this many bytes, and skips at most so many.
 READ, GAP = 8 << 20, 64 << 10
+#: Bytes of the archives that a task reads, about.
+TASK = 4 << 20
 #: A file is closed once it has this many bytes.
 FILE = 256 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -136,8 +138,8 @@ def ranges(rows: Iterator[tuple[str, int, int]], read: int = READ, gap: int = GA
 FIELDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
-def read_records(selected: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Reads the records of these index rows (any subset of the index).
+def read_records(selected: DataFrame, with_payload: bool = False, task_bytes: int = TASK) -> DataFrame:
+    """Reads the records of these index rows (any subset of the index), about `task_bytes` of the archives in a task.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to, and
     with `with_payload` url and payload (null for a revisit). A response's bytes
@@ -172,5 +174,8 @@ def read_records(selected: DataFrame, with_payload: bool = False) -> DataFrame:
             yield taken()
 
     kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * with_payload
-    places = selected.select("path", "offset", "length").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    places = selected.select("path", "offset", "length")
+    # by bytes: the index is small, and by its own size one task would get all of it
+    tasks = max(1, -(-(places.agg(F.sum("length")).first()[0] or 0) // task_bytes))
+    places = places.repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset")
     return places.mapInArrow(run, kind)
