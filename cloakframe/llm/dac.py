@@ -33,6 +33,8 @@ MAGIC = b"DACF1\0"
 HEAD = struct.Struct("<HIQQ")
 #: ids of one file; a partition with more writes several.
 FILE_IDS = 4_000_000
+#: ids that a task reads, about.
+TASK_IDS = 2_000_000
 #: The signed value that marks a null doc_id.
 NO_ID = -(2**63)
 
@@ -63,45 +65,51 @@ def to_bytes(docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray, bits: int = 8
 
 
 class DacFile:
-    """Reads such a file: `token(i)`, `tokens(i, j)`, `document(k)`."""
+    """Reads such a file: `token(i)`, `tokens(i, j)`, `documents(k, l)`.
+
+    data is the file's bytes, or a function of a place and a length that reads
+    from it; only what an answer needs is read.
+    """
 
     def __init__(self, data):
-        view = memoryview(data)
-        if bytes(view[: len(MAGIC)]) != MAGIC:
+        self.read = data if callable(data) else lambda at, n, view=memoryview(data): view[at : at + n]
+        head = bytes(self.read(0, len(MAGIC) + HEAD.size))
+        if head[: len(MAGIC)] != MAGIC:
             raise ValueError("not a file of directly addressable codes")
-        self.bits, levels, n, self.n_ids = HEAD.unpack_from(view, len(MAGIC))
-        at = len(MAGIC) + HEAD.size
-        self.doc_ids = np.frombuffer(view, "<i8", n, at)
-        self.starts = np.frombuffer(view, "<u8", n + 1, at + 8 * n).astype(np.int64)
-        at += 16 * n + 8
-        kind = np.dtype({8: "u1", 16: "<u2", 32: "<u4"}[self.bits])
-        self.levels = []
+        self.bits, levels, self.n_docs, self.n_ids = HEAD.unpack_from(head, len(MAGIC))
+        self.kind = np.dtype({8: "u1", 16: "<u2", 32: "<u4"}[self.bits])
+        at = len(MAGIC) + HEAD.size + 16 * self.n_docs + 8
+        #: For each level how many chunks it has, and where they, the bitmap and the directory begin.
+        self.levels: list[tuple[int, int, int, int]] = []
         for _ in range(levels):
-            (m,) = struct.unpack_from("<Q", view, at)
-            chunks = np.frombuffer(view, kind, m, at + 8)
-            at += 8 + m * kind.itemsize
+            (m,) = struct.unpack("<Q", self.read(at, 8))
             size = -(-m // 512) * 64
-            bitmap = np.frombuffer(view, np.uint8, size, at)
-            ranks = np.frombuffer(view, "<u4", size // 64, at + size)
-            at += size + size // 16
-            self.levels.append((chunks, bitmap, ranks))
+            bitmap = at + 8 + m * self.kind.itemsize
+            self.levels.append((m, at + 8, bitmap, bitmap + size))
+            at = bitmap + size + size // 16
+
+    def _array(self, kind, at: int, n: int) -> np.ndarray:
+        return np.frombuffer(self.read(at, n * np.dtype(kind).itemsize), kind, n) if n else np.empty(0, kind)
 
     def _rank(self, level: int, i: int) -> int:
-        _, bitmap, ranks = self.levels[level]
-        block = i // 512
-        if block == len(ranks):
-            return int(ranks[-1]) + int(np.bitwise_count(bitmap[-64:]).sum()) if block else 0
-        whole = int(np.bitwise_count(bitmap[block * 64 : i // 8]).sum())
-        return int(ranks[block]) + whole + int(bitmap[i // 8] & ((1 << i % 8) - 1)).bit_count()
+        """How many chunks before place i go on."""
+        m, _, bitmap, ranks = self.levels[level]
+        if not m:
+            return 0
+        block = min(i // 512, -(-m // 512) - 1)
+        (before,) = struct.unpack("<I", self.read(ranks + 4 * block, 4))
+        own = self._array(np.uint8, bitmap + 64 * block, -(-i // 8) - 64 * block)
+        whole = i // 8 - 64 * block
+        return before + int(np.bitwise_count(own[:whole]).sum()) + (int(own[whole] & ((1 << i % 8) - 1)).bit_count() if i % 8 else 0)
 
     def token(self, i: int) -> int:
         """The id at place i."""
         if not 0 <= i < self.n_ids:
             raise IndexError(i)
         value = 0
-        for k, (chunks, bitmap, _) in enumerate(self.levels):
-            value |= int(chunks[i]) << (self.bits * k)
-            if not bitmap[i // 8] >> i % 8 & 1:
+        for k, (_, chunks, bitmap, _) in enumerate(self.levels):
+            value |= int(self._array(self.kind, chunks + i * self.kind.itemsize, 1)[0]) << (self.bits * k)
+            if not self.read(bitmap + i // 8, 1)[0] >> i % 8 & 1:
                 break
             i = self._rank(k, i)
         return value
@@ -111,18 +119,25 @@ class DacFile:
         i, j = max(0, i), min(j, self.n_ids)
         out = np.zeros(max(0, j - i), np.uint32)
         where = slice(None)
-        for k, (chunks, bitmap, _) in enumerate(self.levels):
-            part = chunks[i:j].astype(np.uint32) << np.uint32(self.bits * k)
-            out[where] |= part
-            on = np.flatnonzero(np.unpackbits(bitmap[i // 8 : -(-j // 8)], bitorder="little")[i % 8 : i % 8 + j - i])
+        for k, (_, chunks, bitmap, _) in enumerate(self.levels):
+            if j <= i:
+                break
+            out[where] |= self._array(self.kind, chunks + i * self.kind.itemsize, j - i).astype(np.uint32) << np.uint32(self.bits * k)
+            bits = np.unpackbits(self._array(np.uint8, bitmap + i // 8, -(-j // 8) - i // 8), bitorder="little")
+            on = np.flatnonzero(bits[i % 8 : i % 8 + j - i])
             if not len(on):
                 break
             where = on if isinstance(where, slice) else where[on]
             i, j = self._rank(k, i), self._rank(k, j)
         return out
 
-    def document(self, k: int) -> np.ndarray:
-        return self.tokens(int(self.starts[k]), int(self.starts[k + 1]))
+    def documents(self, k: int, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """doc_id, first id's place and ids of documents k to n, without n; read as one range."""
+        at = len(MAGIC) + HEAD.size
+        starts = self._array("<u8", at + 8 * (self.n_docs + k), n - k + 1).astype(np.int64)
+        ids = self.tokens(int(starts[0]), int(starts[-1]))
+        for doc, start, end in zip(self._array("<i8", at + 8 * k, n - k).tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield doc, start, ids[start - int(starts[0]) : end - int(starts[0])]
 
 
 MANIFEST = pa.schema([("part", pa.int64()), ("volume", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
@@ -174,31 +189,30 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, bits: int = 8, f
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def read_ids(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """Reads the files back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and with `with_ids` the ids."""
+def read_ids(manifest: DataFrame, with_ids: bool = False, task_ids: int = TASK_IDS) -> DataFrame:
+    """Reads the files back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and with `with_ids` the ids.
+
+    Files are read by ranges of documents with about `task_ids` ids each, dealt
+    to as many tasks as there are ranges. An empty manifest gives no rows.
+    """
     schema = DIGESTS.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else DIGESTS
     sums = manifest.groupBy("part").agg(F.sum("ids").alias("ids"))  # one row a partition, so the running sum over all of them is small
     before = sums.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
     inside = Window.partitionBy("part").orderBy("volume")
-    files = manifest.select("*", (F.sum("ids").over(inside) - F.col("ids")).alias("inside")).join(before, "part").select("path", (F.col("before") + F.col("inside")).alias("base"))
+    files = manifest.select("*", (F.sum("ids").over(inside) - F.col("ids")).alias("inside")).join(before, "part").select("path", (F.col("before") + F.col("inside")).alias("base"), "docs", "ids")
+    step = F.greatest(F.lit(1), F.floor(F.col("docs") * task_ids / F.col("ids"))).cast("long")
+    parts = files.withColumn("step", step).select("path", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("docs") - 1, F.col("step"))).alias("at"), F.least(F.col("at") + F.col("step"), "docs").alias("upto"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
+            for path, base, at, upto in zip(*(b.column(c).to_pylist() for c in ("path", "base", "at", "upto")), strict=True):
                 fs, name = opened(path)
                 with fs.open_input_file(name) as f:
-                    file = DacFile(f.read_buffer())
-                for k in range(0, len(file.doc_ids), 5000):
-                    upto = min(k + 5000, len(file.doc_ids))
-                    each = [file.document(i) for i in range(k, upto)]
-                    cols = [
-                        [None if d == NO_ID else int(d) for d in file.doc_ids[k:upto]],
-                        file.starts[k:upto] + base,
-                        np.fromiter(map(len, each), np.int64, len(each)),
-                        [zlib.crc32(x.astype("<u4", copy=False)) for x in each],
-                        *([[x.astype(np.int32) for x in each]] if with_ids else []),
-                    ]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                    file = DacFile(lambda place, n, f=f: f.read_at(n, place))
+                    for k in range(at, upto, 5000):
+                        rows = [(None if doc == NO_ID else doc, start + base, len(x), zlib.crc32(x.astype("<u4", copy=False)), *([x.astype(np.int32)] if with_ids else [])) for doc, start, x in file.documents(k, min(k + 5000, upto))]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return files.repartition("path").mapInArrow(run, kind)
+    tasks = max(1, -(-(manifest.agg(F.sum("ids")).first()[0] or 0) // task_ids))
+    return parts.repartition(tasks, "path", "at").mapInArrow(run, kind)

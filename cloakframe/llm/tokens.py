@@ -26,7 +26,7 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-±´-¸º»¿-ɏ‐-‧]*")
 #: The word pattern of byte-level BPE (a fixed value), with Python's names for the classes.
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Entries of the word cache of one worker; it starts afresh when full. Longer words are not kept.
-CACHE = 500_000
+CACHE = 750_000
 LONGEST = 64
 
 _made: dict[str, WordEncoder] = {}
