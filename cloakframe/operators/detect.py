@@ -70,8 +70,9 @@ def scan(docs: DataFrame, config: Config = Config(), text: str = "text") -> Data
 
 def findings(docs: DataFrame, config: Config = Config(), text: str = "text") -> DataFrame:
     """A row per finding: the columns of docs but the text, then priority, start_pos, end_pos, original, detector_type."""
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    return scan(docs, config, text).select(*keep, F.inline("findings"))
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "findings")]
+    # the outer form: with the other one Spark infers a filter of the findings, which would be pushed below the scan and run it again
+    return scan(docs, config, text).select(*keep, F.inline_outer("findings")).filter("original IS NOT NULL")
 
 
 def first_wins(found: DataFrame, by: str) -> DataFrame:
@@ -83,5 +84,5 @@ def first_wins(found: DataFrame, by: str) -> DataFrame:
 def claims(found: DataFrame, key: str) -> DataFrame:
     """The same resolution over rows of findings (key, priority, start_pos, end_pos): for findings that are stored, not computed."""
     grouped = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("priority", "start_pos", "end_pos", "original", "detector_type"))).cast(FINDINGS).alias("f"))
-    return grouped.select(key, F.inline(resolve(F.col("f"))))
+    return grouped.select(key, F.inline_outer(resolve(F.col("f")))).filter("original IS NOT NULL")
 

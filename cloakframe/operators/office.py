@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.config import Config
 from cloakframe.functions import formats
-from cloakframe.operators.rewrite import _replace_with, matchers
+from cloakframe.operators.rewrite import matchers, with_sources
 
 #: First folders of the parts of each kind, and words in the names of parts with text (fixed values).
 KINDS = {"word": "word/", "excel": "xl/", "powerpoint": "ppt/"}
@@ -92,12 +92,11 @@ def office_texts(files: DataFrame) -> DataFrame:
 
 def rewrite_office(files: DataFrame, registry: DataFrame, config: Config = Config(), reverse: bool = False) -> DataFrame:
     """Files (path, content) rewritten: path, office_type, content, replacements. Other files come back as they were."""
-    shared, strict = matchers(registry, config, reverse), config.strict_word_boundaries
+    sources, strict = matchers(registry, config, reverse), config.strict_word_boundaries
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        replace = _replace_with(shared, strict)
         for b in batches:
-            new = [rewritten(bytes(c), replace) for c in b.content]
+            new = with_sources(sources, strict, lambda replace, files=b.content: [rewritten(bytes(c), replace) for c in files])
             yield pd.DataFrame({"path": b.path, "office_type": [kind_of(bytes(c)) for c in b.content], "content": [x for x, _ in new], "replacements": [n for _, n in new]})
 
     return files.select("path", "content").mapInPandas(run, "path string, office_type string, content binary, replacements long")

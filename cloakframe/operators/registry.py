@@ -149,6 +149,12 @@ def mapping(registry: DataFrame, reverse: bool = False, config: Config = Config(
 
 
 def select_rows(registry: DataFrame, numbers: list[int]) -> DataFrame:
-    """Entries by their place (from 1) in order of their originals."""
-    ranked = registry.withColumn("row", F.row_number().over(Window.orderBy("original")))
+    """Entries by their place (from 1) in order of their originals; only as many rows as the largest place are put in order."""
+    first = registry.orderBy("original").limit(max([0, *numbers]))
+    ranked = first.withColumn("row", F.row_number().over(Window.orderBy("original")))
     return ranked.filter(F.col("row").isin(numbers)).drop("row")
+
+
+def clear(registry: DataFrame) -> DataFrame:
+    """The registry without entries."""
+    return registry.limit(0)

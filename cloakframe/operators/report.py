@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.config import Config
-from cloakframe.functions.replacing import Replacer
-from cloakframe.operators.rewrite import matchers
+from cloakframe.operators.rewrite import matchers, replacer
 
 NETWORK, IDENTITY, SYSTEMS, CONTACT = "Red", "Identidad", "Sistemas", "Contacto / Claves"
 #: Parts of type names that decide a category, in order; what has none is a contact or key (fixed values).
@@ -60,14 +59,19 @@ def active_and_omitted(registry: DataFrame) -> DataFrame:
 
 def tokens_present(docs: DataFrame, registry: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Which originals occur in which texts, as parts of them: key, original. By matchers, not a join of all pairs."""
-    shared = matchers(registry, Config(strict_word_boundaries=False))
+    sources = matchers(registry, Config(strict_word_boundaries=False))
 
     @F.pandas_udf("array<string>")
     def each(texts: pd.Series) -> pd.Series:
-        matcher = [Replacer(pairs.value, False) for _, pairs in shared]
-        return texts.map(lambda t: sorted({k for m in matcher for _, _, k in m.hits(t)}) if isinstance(t, str) else [])
-
-    return docs.select(key, F.explode(each(F.col(text))).alias("original"))
+        found: list[set] = [set() for _ in texts]
+        for source in sources:
+            r = replacer(source, False)
+            for own, t in zip(found, texts, strict=True):
+                if isinstance(t, str):
+                    own.update(k for _, _, k in r.hits(t))
+        return pd.Series([sorted(x) for x in found])
+
+    return docs.select(key, F.explode_outer(each(F.col(text))).alias("original")).filter("original IS NOT NULL")
 
 
 def text_stats(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -1,15 +1,17 @@
 """Rewriting documents with a registry, and restoring them.
 
 The whole registry applies to every document, not only what was found in it,
-so the registry goes to every task: as one matcher while it is within
-`matcher_entries`, else as several of that size, applied one after another to
-collect places, which are then resolved together. The documents never shuffle.
+so the registry goes to every task. Up to `matcher_entries` pairs (checked by a
+count) it is one broadcast matcher. A larger registry is never gathered in one
+place: it is a written table in parts of that size, which a task goes through
+one after another for a chunk of texts of bounded size, collecting places that
+are then resolved together. The documents never shuffle.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,45 +21,85 @@ from cloakframe.config import Config, FormatError
 from cloakframe.functions import formats
 from cloakframe.functions.replacing import Replacer, splice
 from cloakframe.operators import registry as R
+from cloakframe.sources import shared
 
 RESULT = "text string, replacements long, format string, status string, schema_intact boolean, syntax_valid boolean, warnings array<string>"
 _replacers: dict = {}
 
 
+#: Characters of strings that a task holds while it goes through the parts of a large registry.
+CHUNK = 16_000_000
+
+
 def matchers(registry: DataFrame, config: Config, reverse: bool = False) -> list:
-    """Names and broadcast dictionaries of at most `matcher_entries` pairs each: a registry of any size is dealt by hash into as many as it takes."""
+    """Names and sources of at most about `matcher_entries` pairs each: one broadcast dictionary, or the folders of a table dealt by hash."""
     pairs = R.mapping(registry, reverse, config)
     n = pairs.count()
     parts = max(1, -(-n // config.matcher_entries))
-    sc = registry.sparkSession.sparkContext
-    out = []
-    for i in range(parts):
-        own = pairs if parts == 1 else pairs.filter(F.pmod(F.xxhash64("needle"), F.lit(parts)) == i)
-        out.append((uuid.uuid4().hex, sc.broadcast({r.needle: r.replacement for r in own.collect()})))
-    return out
+    spark, name = registry.sparkSession, uuid.uuid4().hex
+    if parts == 1:
+        return [(name, spark.sparkContext.broadcast({r.needle: r.replacement for r in pairs.collect()}))]
+    at = f"{shared.folder(spark)}/pairs-{name}"
+    pairs.withColumn("part", F.pmod(F.xxhash64("needle"), F.lit(parts))).repartition(parts, "part").write.partitionBy("part").parquet(at)
+    return [(f"{name}-{i}", f"{at}/part={i}") for i in range(parts)]
 
 
-def _replacer(shared: tuple, strict: bool) -> Replacer:
-    key = (shared[0], strict)
-    if key not in _replacers:
-        if len(_replacers) >= 4:
-            _replacers.clear()
-        _replacers[key] = Replacer(shared[1].value, strict)
-    return _replacers[key]
+def _pairs(source) -> dict[str, str]:
+    if not isinstance(source, str):
+        return source.value
+    from pyarrow import dataset, fs
 
+    where, at = shared.opened(source)
+    if where.get_file_info(at).type == fs.FileType.NotFound:  # a part that got no pair
+        return {}
+    table = dataset.dataset(at, filesystem=where, format="parquet").to_table(["needle", "replacement"])
+    return dict(zip(table["needle"].to_pylist(), table["replacement"].to_pylist(), strict=True))
 
-def _replace_with(shared: list, strict: bool):
-    if len(shared) == 1:
-        return _replacer(shared[0], strict).replace
 
-    def replace(text: str) -> tuple[str, int]:
-        hits = []
-        for s in shared:
-            r = _replacer(s, strict)
-            hits += [(a, b, r.pairs[k]) for a, b, k in r.hits(text)]
-        return splice(text, hits)
+def replacer(source: tuple, strict: bool) -> Replacer:
+    """The worker's matcher for a source of pairs; it keeps the last one."""
+    key = (source[0], strict)
+    if key not in _replacers:
+        _replacers.clear()
+        _replacers[key] = Replacer(_pairs(source[1]), strict)
+    return _replacers[key]
 
-    return replace
+
+def replaced(sources: list, strict: bool, strings: list[str]) -> dict[str, tuple[str, int]]:
+    """New strings and their numbers of replacements; each source is read once for all of them."""
+    hits: dict[str, list] = {x: [] for x in strings}
+    for source in sources:
+        r = replacer(source, strict)
+        for x, found in hits.items():
+            found += [(a, b, r.pairs[k]) for a, b, k in r.hits(x)]
+    return {x: splice(x, found) for x, found in hits.items()}
+
+
+def with_sources(sources: list, strict: bool, run: Callable):
+    """run(replace) with the sources' replacements; with several, the strings that it asks for are gathered first, so it must ask for the same ones again."""
+    if len(sources) == 1:
+        return run(replacer(sources[0], strict).replace)
+    asked: dict[str, None] = {}
+
+    def ask(x: str) -> tuple[str, int]:
+        asked[x] = None
+        return x, 0
+
+    run(ask)
+    return run(replaced(sources, strict, list(asked)).__getitem__)
+
+
+def rewritten_all(texts: list, kinds: list, sources: list, config: Config, canonical: bool) -> list[tuple]:
+    """Rows of RESULT, chunk by chunk."""
+    out, at = [], 0
+    while at < len(texts):
+        size, upto = 0, at
+        while upto < len(texts) and (upto == at or size + len(texts[upto] or "") <= CHUNK):
+            size, upto = size + len(texts[upto] or ""), upto + 1
+        chunk = list(zip(texts[at:upto], kinds[at:upto], strict=True))
+        out += with_sources(sources, config.strict_word_boundaries, lambda replace, chunk=chunk: [rewritten(t, k, replace, config, canonical) for t, k in chunk])
+        at = upto
+    return out
 
 
 def rewritten(text: str | None, kind: str | None, replace, config: Config, canonical: bool) -> tuple:
@@ -82,18 +124,17 @@ def rewrite(docs: DataFrame, registry: DataFrame, config: Config = Config(), tex
     The report holds format_detected, original_length, result_length (bytes),
     replacements_applied, schema_intact, syntax_valid, warnings and status.
     """
-    shared = matchers(registry, config, reverse)
-    strict = config.strict_word_boundaries
+    sources = matchers(registry, config, reverse)
 
     @F.pandas_udf(RESULT)
     def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        replace = _replace_with(shared, strict)
         for texts, kinds in batches:
-            rows = [rewritten(t if isinstance(t, str) else None, k, replace, config, canonical) for t, k in zip(texts, kinds, strict=True)]
+            rows = rewritten_all([t if isinstance(t, str) else None for t in texts], list(kinds), sources, config, canonical)
             yield pd.DataFrame(rows, columns=["text", "replacements", "format", "status", "schema_intact", "syntax_valid", "warnings"])
 
     kinds = F.col(kind) if kind in docs.columns else F.lit(kind)
-    out = docs.withColumn("_new", each(F.col(text), kinds))
+    # named non-deterministic, or a filter of the report would be pushed below it and rewrite each text again
+    out = docs.withColumn("_new", each.asNondeterministic()(F.col(text), kinds))
     report = F.struct(
         F.col("_new.format").alias("format_detected"), F.octet_length(F.col(text)).alias("original_length"), F.octet_length("_new.text").alias("result_length"),
         F.col("_new.replacements").alias("replacements_applied"), F.col("_new.schema_intact").alias("schema_intact"), F.col("_new.syntax_valid").alias("syntax_valid"),

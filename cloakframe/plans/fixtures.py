@@ -84,10 +84,27 @@ CACHE_NEW = """SELECT concat('/datos/f', CAST(o_orderkey AS STRING), '.txt') AS
 PATHS = """SELECT p_partkey AS id, concat(CASE p_partkey % 6 WHEN 0 THEN '/src/.git/x' WHEN 1 THEN '/src/node_modules/a/b' WHEN 2 THEN '/src/main' WHEN 3 THEN '/src/.oculto' WHEN 4 THEN '/doc/Build/y' ELSE '/doc/texto' END,
   '/f', CAST(p_partkey AS STRING), CASE p_partkey % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.PNG' WHEN 2 THEN '.log' ELSE '' END) AS path FROM {t}"""
 
+#: Values of the types whose pseudonyms no other query looks at.
+TYPED = f"""SELECT k AS id, CASE k % 14 WHEN 0 THEN concat({_hex("k", 1, 8)}, '-', {_hex("k", 9, 4)}, '-4', {_hex("k", 14, 3)}, '-a', {_hex("k", 18, 3)}, '-', {_hex("k", 21, 12)}) WHEN 1 THEN concat('0x', {_hex("k", 1, 5)}) WHEN 2 THEN concat('0x', {_hex("k", 1, 12)})
+  WHEN 3 THEN concat(lpad(CAST(k AS STRING), 8, '1'), '-z') WHEN 4 THEN concat('+346', lpad(CAST(k AS STRING), 8, '0')) WHEN 5 THEN concat('9', lpad(CAST(k % 100 AS STRING), 2, '1'), ' 345 ', lpad(CAST(k % 1000 AS STRING), 3, '2'))
+  WHEN 6 THEN concat('2001:db8::', {_hex("k", 1, 4)}) WHEN 7 THEN concat('Pedido ', CAST(k AS STRING)) WHEN 8 THEN concat('EX', CAST(k AS STRING), '.acme.net') WHEN 9 THEN concat('informe_', CAST(k AS STRING), '.tar.pdf')
+  WHEN 10 THEN concat('ficha', CAST(k AS STRING)) WHEN 11 THEN concat('otro', CAST(k AS STRING)) WHEN 12 THEN concat('<m', CAST(k AS STRING), '@mail.acme.org>') ELSE concat('srv-', CAST(k AS STRING)) END AS original,
+  CASE k % 14 WHEN 0 THEN 'GUID/UUID' WHEN 1 THEN 'Windows Logon ID' WHEN 2 THEN 'Windows Hex ID' WHEN 3 THEN 'DNI/NIE' WHEN 4 THEN 'Telephone' WHEN 5 THEN 'Telephone' WHEN 6 THEN 'IPv6' WHEN 7 THEN 'O365 Subject' WHEN 8 THEN 'O365 Server Hostname'
+  WHEN 9 THEN 'Attachment File Name' WHEN 10 THEN 'Generic Token' WHEN 11 THEN 'Custom (otra)' WHEN 12 THEN 'Custom (InternetMessageId)' ELSE 'Hostname' END AS detector_type FROM (SELECT c_custkey AS k FROM {{t}}) AS q"""
+
+#: Registries for the rewriting of formats: values that the formats' texts hold, and names of keys, tags and attributes, which must stay.
+LOG_PAIRS = """SELECT DISTINCT concat('op', CAST(o_custkey AS STRING), '@corp.es') AS original, concat('u', CAST(o_custkey AS STRING), '@anon.es') AS pseudonym FROM {t}
+  UNION SELECT concat('admin', CAST(o_custkey AS STRING), '@corp.es'), concat('a', CAST(o_custkey AS STRING), '@anon.es') FROM {t} UNION SELECT concat('10.0.', CAST(o_custkey % 250 AS STRING), '.5'), concat('10.99.', CAST(o_custkey % 250 AS STRING), '.5') FROM {t}
+  UNION SELECT '12345678Z', '87654321X' UNION SELECT 'user', 'CLAVE' UNION SELECT 'src_ip', 'ORIGEN' UNION SELECT 'login', 'ENTRADA'"""
+SIEM_PAIRS = """SELECT DISTINCT concat('usuario', CAST(user_id AS STRING)) AS original, concat('anon', CAST(user_id AS STRING)) AS pseudonym FROM {t} UNION SELECT concat('10.1.2.', CAST(user_id % 250 AS STRING)), concat('10.77.2.', CAST(user_id % 250 AS STRING)) FROM {t}
+  UNION SELECT '4624', '9999' UNION SELECT '0x8020000000000000', '0xDEAD' UNION SELECT 'agent', 'AGENTE' UNION SELECT 'Nota', 'Aviso' UNION SELECT 'servidor', 'equipo "uno"'"""
+XML_PAIRS = """SELECT DISTINCT concat('jefe', CAST(s_suppkey AS STRING), '@acme.org') AS original, concat('x', CAST(s_suppkey AS STRING), '@anon.org') AS pseudonym FROM {t} UNION SELECT concat('192.168.7.', CAST(s_suppkey % 250 AS STRING)), concat('192.168.99.', CAST(s_suppkey % 250 AS STRING)) FROM {t}
+  UNION SELECT concat('10.4.4.', CAST(s_suppkey % 250 AS STRING)), concat('10.5.5.', CAST(s_suppkey % 250 AS STRING)) FROM {t} UNION SELECT concat('srv-', CAST(s_suppkey AS STRING)), 'SERVIDOR' FROM {t} UNION SELECT 'a & b', 'c < d' UNION SELECT 'note', 'NOTA' UNION SELECT 'ver', 'see'"""
+
 FIXTURES = {
     "identity": (IDENTITY, "customer"), "phone": (PHONE, "customer"), "card": (CARD, "customer"), "windows": (WINDOWS, "orders"), "guid": (GUID, "part"), "net": (NET, "supplier"),
     "o365": (O365, "orders"), "log": (LOG, "orders"), "siem": (SIEM, "events"), "xml": (XML, "supplier"), "ruled": (RULED, "part"), "types": (TYPES, "part"), "registry": (REGISTRY, "customer"),
-    "cache": (CACHE, "orders"), "cache_new": (CACHE_NEW, "orders"), "paths": (PATHS, "part"),
+    "typed": (TYPED, "customer"), "log_pairs": (LOG_PAIRS, "orders"), "siem_pairs": (SIEM_PAIRS, "events"), "xml_pairs": (XML_PAIRS, "supplier"), "cache": (CACHE, "orders"), "cache_new": (CACHE_NEW, "orders"), "paths": (PATHS, "part"),
 }
 
 

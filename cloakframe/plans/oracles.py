@@ -138,6 +138,40 @@ UNION SELECT v, {host("v")}, 'Hostname' FROM (SELECT {siem("data.win.system.comp
     return f"WITH s AS (SELECT * FROM {fx('siem')} WHERE id % 8 <> 0) SELECT original, pseudonym, detector_type, pseudonym = '=' AS omitted FROM ({rows})"
 
 
+def generated() -> str:
+    """The pseudonyms of the typed values."""
+    n = "CAST(" + number(1, 12, 89999999) + " + 10000000 AS BIGINT)"
+    eight = f"lpad(CAST({number(1, 14, 10**8)} AS VARCHAR), 8, '0')"
+    subjects = "[" + ", ".join(map(quoted, C.SUBJECTS)) + "]"
+    guid = f"substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 13, 3) || '-' || substr('89ab', CAST({number(17, 1, 4)} + 1 AS INT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+    landline = f"(CAST({number(20, 1, 2)} + 8 AS VARCHAR) || {eight})"
+    return f"""SELECT original, CASE detector_type WHEN 'GUID/UUID' THEN {guid} WHEN 'Windows Logon ID' THEN '0x' || substr(h, 1, 5) WHEN 'Windows Hex ID' THEN '0x' || substr(h, 1, 12)
+  WHEN 'DNI/NIE' THEN {n} || '-' || lower(substr('{LETTERS}', CAST({n} % 23 AS INT) + 1, 1)) WHEN 'IPv6' THEN '2001:db8:85a3::' || substr(h, 1, 4) || ':' || substr(h, 5, 4)
+  WHEN 'Telephone' THEN CASE WHEN original LIKE '+34%' THEN '+34' || ({number(20, 1, 2)} + 6) || {eight} ELSE substr({landline}, 1, 3) || ' ' || substr({landline}, 4, 3) || ' ' || substr({landline}, 7, 3) END
+  WHEN 'O365 Subject' THEN {subjects}[CAST({number(9, 8, len(C.SUBJECTS))} + 1 AS INT)] || ' [REF-' || upper(substr(h, 1, 8)) || ']' WHEN 'O365 Server Hostname' THEN 'EURPRD' || upper(substr(h, 1, 6)) || 'PROD.outlook.example.com'
+  WHEN 'Attachment File Name' THEN 'attachment_' || substr(h, 1, 8) || '.pdf' WHEN 'Generic Token' THEN 'ANON_' || upper(substr(h, 1, 8)) WHEN 'Custom (otra)' THEN 'CUSTOM_' || upper(substr(h, 1, 8))
+  WHEN 'Hostname' THEN 'srv-anon-' || substr(h, 1, 8) ELSE '<MSGID_' || upper(substr(h, 11, 16)) || '@service-' || substr(h, 1, 8) || '.example.com>' END AS pseudonym, detector_type
+  FROM (SELECT *, sha256('local-key|' || detector_type || '|' || original || '|0') AS h FROM (SELECT DISTINCT original, detector_type FROM {fx('typed')}))"""
+
+
+def rewritten() -> dict[str, str]:
+    """Texts of the formats with what their registries replace, by patterns of the places where it stands."""
+
+    def chain(*pairs: tuple[str, str]) -> str:
+        out = "text"
+        for old, new in pairs:
+            out = f"regexp_replace({out}, {quoted(old)}, {quoted(new)}, 'g')"
+        return out
+
+    json = chain(('Nota 4624"', 'Aviso 9999"'), ("usuario([0-9]+)", r"anon\1"), (r"10\.1\.2\.", "10.77.2."), ("Nota ", "Aviso "), ('"servidor ', r'"equipo \\"uno\\" '))
+    xml = chain(("jefe([0-9]+)@acme", r"x\1@anon"), (r"192\.168\.7\.", "192.168.99."), (r"10\.4\.4\.", "10.5.5."), (r"CDATA\[ver", "CDATA[see"), ("a &amp; b", "c &lt; d"))
+    pairs = chain(("op([0-9]+)@corp", r"u\1@anon"), (r"10\.0\.", "10.99."), ("=login", "=ENTRADA"))
+    plain = chain(("admin([0-9]+)@corp", r"a\1@anon"), ("12345678Z", "87654321X"))
+    log = f"CASE id % 3 WHEN 0 THEN {plain} WHEN 1 THEN {pairs} ELSE text END"
+    count = {"json": """CASE WHEN text LIKE '%Nota 4624"%' THEN 3 ELSE 2 END""", "xml": "5", "log": "CASE id % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END"}
+    return {k: f"SELECT id, {new} AS text, CAST({count[k]} AS BIGINT) AS replacements, true AS schema_intact FROM {fx(n)}" for k, new, n in (("json", json, "siem"), ("xml", xml, "xml"), ("log", log, "log"))}
+
+
 def oracle_sql() -> dict[str, str]:
     docs_row = "doc_id, start_pos, end_pos, original, detector_type"
     out = {f"detect_{k}": f"SELECT id, start_pos, end_pos, original FROM {matches(k, fx(f))}" for k, f in WHERE.items()}
@@ -196,4 +230,17 @@ SELECT doc_id, text, text <> old AS changed FROM new""",
         "directory_filter": f"SELECT id, path FROM {fx('paths')} WHERE NOT path LIKE '%/.%' AND NOT lower(path) LIKE '%/node_modules/%' AND NOT lower(path) LIKE '%/build/%' AND NOT lower(path) LIKE '%.png'",
         "detector_type_normalize": f"""SELECT id, CASE {ALIAS} ELSE 'Custom (' || p || ')' END AS name FROM (SELECT id, trim(regexp_replace(trim(regexp_replace(name, '^[Cc]ustom ?\\((.*)\\)$', '\\1')), '^[Cc]ustom ?\\((.*)\\)$', '\\1')) AS p FROM {fx('types')})""",
     }
+    new = rewritten()
+    out |= {f"{k}_rewrite": sql for k, sql in new.items()} | {f"{k}_rewrite_parts": sql for k, sql in new.items()}
+    mail, files = "'jefe' || s_suppkey || '@acme.org'", "SELECT 'f' || s_suppkey AS path, ['word', 'excel', 'powerpoint'][CAST(s_suppkey % 3 AS INT) + 1] AS office_type,"
+    out |= {
+        "pseudonym_generators": generated(),
+        "schema_of": f"""SELECT 'json' AS kind, id, CASE id % 3 WHEN 0 THEN id % 8 = 0 WHEN 1 THEN false ELSE true END AS schema_intact, true AS syntax_valid FROM {fx('siem')}
+  UNION ALL SELECT 'xml', id, id % 3 = 2, id % 3 <> 1 FROM {fx('xml')}""",
+        "office_text": f"{files} CASE s_suppkey % 3 WHEN 0 THEN 'Informe de ' || {mail} || chr(10) || 'a & b' WHEN 1 THEN {mail} || chr(10) || '192.168.7.' || (s_suppkey % 250) ELSE 'ver ' || {mail} END AS text FROM supplier",
+        "office_rewrite": f"{files} CASE s_suppkey % 3 WHEN 0 THEN 'Informe de x' || s_suppkey || '@anon.org' || chr(10) || 'c < d' WHEN 1 THEN 'x' || s_suppkey || '@anon.org' || chr(10) || '192.168.99.' || (s_suppkey % 250) ELSE 'see x' || s_suppkey || '@anon.org' END AS text, CAST(2 AS BIGINT) AS replacements FROM supplier",
+    }
+    talks = "WITH documents AS (SELECT concat_ws('-', conv_id, turn) AS doc_id, role, text FROM conversations), "
+    out["stream_protect"] = f"""{registry().replace("WITH ", talks, 1)}, pairs AS (SELECT list(original || chr(1) || pseudonym ORDER BY length(original) DESC) AS p FROM reg WHERE pseudonym <> '=')
+SELECT doc_id AS id, role, coalesce(list_reduce(list_prepend(text, p), lambda t, x: replace(t, split_part(x, chr(1), 1), split_part(x, chr(1), 2))), text) AS text FROM documents, pairs"""
     return out

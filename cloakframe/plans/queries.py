@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from cloakframe import catalog as C
 from cloakframe.config import Config, Rule
 from cloakframe.functions import checks as V
-from cloakframe.operators import detect, registry, report, rewrite, structured
+from cloakframe.functions import formats
+from cloakframe.operators import detect, office, registry, report, rewrite, structured
 from cloakframe.plans.engine import Engine
 from cloakframe.plans.fixtures import fixture
 from cloakframe.sources import files, shared
@@ -296,13 +297,86 @@ def stream_protect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
+def pseudonym_generators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudonyms of values of each type that the registry of documents lacks."""
+    return registry.build(fixture(spark, sf_dir, "typed").select("original", "detector_type")).select("original", "pseudonym", "detector_type")
+
+
+def pairs_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return fixture(spark, sf_dir, name).select("original", "pseudonym", F.lit("Generic Token").alias("detector_type"), F.lit(False).alias("omitted"))
+
+
+def rewrite_query(kind: str, name: str, parts: bool = False) -> Query:
+    """The texts of a format rewritten with a registry that also names keys and tags; with `parts`, by a registry in several parts."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        config = Config(matcher_entries=50) if parts else Config()
+        out = Engine(config).protect(fixture(spark, sf_dir, name), pairs_of(spark, sf_dir, f"{name}_pairs"), kind=kind)
+        return out.select("id", "text", F.col("report.replacements_applied").alias("replacements"), F.col("report.schema_intact").alias("schema_intact"))
+
+    return query
+
+
+def schema_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparison of each text with a broken copy of it: one lacks a key, one a tag, one is cut."""
+    texts = fixture(spark, sf_dir, "siem").select("id", F.lit(formats.JSON).alias("kind"), "text", F.when(F.col("id") % 3 == 0, F.replace("text", F.lit('"ip"'), F.lit('"host"'))).when(F.col("id") % 3 == 1, F.substring("text", 1, 9)).otherwise(F.col("text")).alias("other"))
+    texts = texts.union(fixture(spark, sf_dir, "xml").select("id", F.lit(formats.XML), "text", F.when(F.col("id") % 3 == 0, F.replace("text", F.lit("admin>"), F.lit("amo>"))).when(F.col("id") % 3 == 1, F.substring("text", 1, 30)).otherwise(F.col("text"))))
+
+    @F.pandas_udf("schema_intact boolean, syntax_valid boolean")
+    def each(before, after, kind):
+        import pandas as pd
+
+        return pd.DataFrame([(r["schema_intact"], r["syntax_valid"]) for r in (formats.compare(*x) for x in zip(before, after, kind, strict=True))], columns=["schema_intact", "syntax_valid"])
+
+    return texts.withColumn("report", each.asNondeterministic()("text", "other", "kind")).select("kind", "id", "report.schema_intact", "report.syntax_valid")
+
+
+def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Word, Excel or PowerPoint file for each supplier, by turns."""
+
+    def run(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        def made(i: int) -> bytes:
+            mail = f"jefe{i}@acme.org"
+            name, xml = [
+                ("word/document.xml", f"<w:document><w:p><w:r><w:t>Informe de {mail[:3]}</w:t></w:r><w:r><w:t>{mail[3:]}</w:t></w:r></w:p><w:p><w:r><w:t>a &amp; b</w:t></w:r></w:p></w:document>"),
+                ("xl/sharedStrings.xml", f"<sst><si><t>{mail}</t></si><si><t>192.168.7.{i % 250}</t></si></sst>"),
+                ("ppt/slides/slide1.xml", f'<p:sld name="srv-{i}"><a:p><a:r><a:t>ver {mail}</a:t></a:r></a:p></p:sld>'),
+            ][i % 3]
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("[Content_Types].xml", "<Types/>")
+                z.writestr(name, xml)
+            return out.getvalue()
+
+        for b in batches:
+            yield pd.DataFrame({"path": b.id.map(lambda i: f"f{i}"), "content": b.id.map(made)})
+
+    return fixture(spark, sf_dir, "xml").select("id").mapInPandas(run, "path string, content binary")
+
+
+def office_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return office.office_texts(office_files(spark, sf_dir))
+
+
+def office_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = shared.written(office.rewrite_office(office_files(spark, sf_dir), pairs_of(spark, sf_dir, "xml_pairs")), "office")
+    return office.office_texts(new).join(new.select("path", "replacements"), "path")
+
+
 PLAIN = [
+    pseudonym_generators, schema_of, office_text, office_rewrite,
     detect_custom_rule, card_iin_brand, dni_control_letter, vendor_domain_filter, protected_sid_filter, protected_word_filter, hex_literal_filter, findings_resolved, findings_first_wins, findings_stored_claims,
     summary_by_type, category_distribution, rollup_source_type, audit_metrics, highlight_spans, text_stats, format_badge, size_labels, registry_build, registry_bijection_check, registry_merge_first_wins,
     registry_merge_last_wins, registry_add, registry_omit, registry_remove_batch, registry_search, registry_active_omitted, registry_page, registry_vault_roundtrip, protect_text, restore_roundtrip, tokens_present,
     format_detect, json_leaf_paths, json_protected_paths, json_contextual, json_protect_roundtrip, json_key_schema_check, log_kvp_protect, xml_text_protect, custom_rule_registry, scan_cache_skip, directory_filter,
     detector_type_normalize, stream_protect,
 ]
+REWRITES = (("json", formats.JSON, "siem"), ("xml", formats.XML, "xml"), ("log", formats.LOG, "log"))
 IN_DOCUMENTS = ("email", "ipv4", "card", "domain")
 
 
@@ -310,4 +384,5 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {f"detect_{k}": detector_query(k) for k in WHERE}
     out |= {f"documents_{k}": documents_query(k) for k in IN_DOCUMENTS}
     out |= {f"profile_{n}": profile_query(n) for n in ("devops", "gdpr")}
+    out |= {f"{k}_rewrite": rewrite_query(kind, n) for k, kind, n in REWRITES} | {f"{k}_rewrite_parts": rewrite_query(kind, n, True) for k, kind, n in REWRITES}
     return out | {f.__name__: f for f in PLAIN}

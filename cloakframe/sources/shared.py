@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; only where it is unset, as in tests, a temporary folder of this machine."""
+    """`spark.checkpoint.dir` of the session; where it is unset and the master is local, as in tests, a temporary folder of this machine."""
     if at := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster intermediate tables need a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tables-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
@@ -25,3 +27,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def opened(uri: str):
+    """(file system, path) of a URI, for tasks: local, HDFS and object stores alike."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
