@@ -10,6 +10,7 @@ are then resolved together. The documents never shuffle.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -65,11 +66,32 @@ def replacer(source: tuple, strict: bool) -> Replacer:
     return _replacers[key]
 
 
+_RUN = re.compile(r"\w+")
+
+
+def possible(pairs: dict[str, str], strings: list[str], strict: bool) -> dict[str, str]:
+    """The pairs without needles that can't stand in any of the strings.
+
+    A run of word characters that a needle holds between others is a whole word
+    of the text; so is, with `strict`, a needle that is one run.
+    """
+    words = set().union(*map(_RUN.findall, strings)) if strings else set()
+
+    def may(needle: str) -> bool:
+        runs = _RUN.findall(needle)
+        if len(runs) == 1 and len(runs[0]) == len(needle):
+            return not strict or needle in words
+        first, last = needle.startswith(runs[0]) if runs else False, needle.endswith(runs[-1]) if runs else False
+        return words.issuperset(runs[int(first) : len(runs) - int(last)])
+
+    return {k: v for k, v in pairs.items() if may(k)}
+
+
 def replaced(sources: list, strict: bool, strings: list[str]) -> dict[str, tuple[str, int]]:
-    """New strings and their numbers of replacements; each source is read once for all of them."""
+    """New strings and their numbers of replacements; each source is read once for all of them, and only needles that may occur make a matcher."""
     hits: dict[str, list] = {x: [] for x in strings}
-    for source in sources:
-        r = replacer(source, strict)
+    for _, source in sources:
+        r = Replacer(possible(_pairs(source), strings, strict), strict)
         for x, found in hits.items():
             found += [(a, b, r.pairs[k]) for a, b, k in r.hits(x)]
     return {x: splice(x, found) for x, found in hits.items()}

@@ -37,7 +37,7 @@ def test_protected_sid(spark):
 def test_o365_groups(spark):
     assert found(spark, '{"Subject": "Hola mundo", "OriginatingServer" : "EX1.acme.net"}', "subject") == ["Hola mundo"]
     df = spark.createDataFrame([('é {"Subject": "Hola"}',)], "text string").select(F.inline(detect.matches("subject", F.col("text")))).first()
-    assert (df.start_pos, df.end_pos) == (15, 19) or df.original == "Hola"
+    assert (df.start_pos, df.end_pos, df.original) == (15, 19, "Hola")
 
 
 def test_priority_rules_and_nulls(spark):
@@ -50,7 +50,7 @@ def test_positions_rebuild_the_text(spark):
     text = "ñandú 192.168.1.1 😀 a@b.es fin"
     docs = spark.createDataFrame([(1, text)], "id int, text string")
     for r in detect.findings(docs).collect():
-        assert text[r.start_pos : r.end_pos].encode() == r.original.encode() or "😀" in text[: r.start_pos]
+        assert text[r.start_pos : r.end_pos] == r.original
 
 
 def test_types_lose_every_wrapping(spark):
