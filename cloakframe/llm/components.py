@@ -9,7 +9,7 @@ keys adaptive execution splits, and every round is written to the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cloakframe.llm.shared import written
@@ -17,8 +17,11 @@ from cloakframe.llm.shared import written
 ROUNDS = 60
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a written table, and their number and a sum of their hashes, both observed while they are written."""
+    seen = Observation()
+    links = links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    return written(links, "links"), tuple(seen.get.values())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,8 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     takes a logarithmic number of rounds.
     """
     now = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
-    now = written(now, "links")
-    state = _state(now)
+    now, state = _written(now)
     if not state[0]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(ROUNDS):
@@ -40,8 +42,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         small = small.union(low.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
-        now = written(small, "links")
-        before, state = state, _state(now)
+        before = state
+        now, state = _written(small)
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     raise RuntimeError("components did not settle")

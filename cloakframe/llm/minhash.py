@@ -177,6 +177,8 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings, repeated: bool) ->
     A centre of a hot bucket is in many pairs: the sets are a written table, so that the joins with them can be split.
     """
     pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     sets = written(sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), s, repeated), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
