@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.shared import take_turn, unused, written
+from cloakframe.llm.shared import give_back, take_turn, unused, written
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -160,6 +160,8 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
         sums = np.bincount(at, weights=n, minlength=len(langs))
         norm = np.log(np.maximum(sums + settings.unseen * len(items), settings.unseen))
         tables.append(Table({w: i for i, w in enumerate(items)}, start, at.astype(np.int32), np.log(n + settings.unseen) - norm[at], math.log(settings.unseen) - norm))
+    del kept, part, own, at, n
+    give_back()  # what the driver needed for this stays beside later operators otherwise
     prior = [math.log(n_of[lang] / total) for lang in langs]
     return Model(langs, prior, tables[0], tables[1], longest)
 

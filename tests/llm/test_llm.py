@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -392,6 +395,32 @@ def test_top_k_over_blocks(spark, monkeypatch, rows):
         assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
 
 
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="reads the memory from Linux")
+def test_a_turn_gives_freed_memory_back():
+    """Blocks below the allocator's limit for single mappings, with small ones between them that stay."""
+    code = """
+import re
+from cloakframe.llm import shared
+import pyarrow
+
+def own():
+    return sum(map(int, re.findall("Anonymous: +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+shared.take_turn("one", lambda: held.clear())
+before, held, stay = own(), [], []
+for i in range(60_000):
+    held.append(bytearray(2000))
+    if i % 100 == 0:
+        stay.append(bytearray(600))
+assert own() - before > 100
+shared.take_turn("two", None)
+assert own() - before < 30, own() - before
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=60)
+    assert done.returncode == 0, done.stderr
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

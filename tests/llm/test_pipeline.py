@@ -93,3 +93,25 @@ def test_document_stage_against_all_pairs(spark):
     got = stage(spark, "minhash_dedup", rows)
     assert kept(5) != kept(4) and len(kept(5)) < len(rows)
     assert set(got) == kept(5) and all(got[i].text == t for i, t in rows if i in got)
+
+
+@pytest.mark.parametrize("name", ["language_id", "minhash_dedup", "packing"])
+def test_stages_hand_few_rows_at_once_to_python(spark, name):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows]})
+
+    try:
+        stage(spark, name, [(0, "uno dos tres")])
+        most = max(r.rows for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "rows long").collect())
+        assert most <= shared.BATCH
+        spark.conf.set(key, "7")
+        stage(spark, name, [(0, "uno dos tres")])
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, was)
