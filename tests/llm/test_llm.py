@@ -335,6 +335,28 @@ def test_lines_with_clashing_columns_and_repeated_ids(spark):
     assert with_columns == got.columns
 
 
+def test_line_join_in_passes(spark, monkeypatch):
+    rng = random.Random(12)
+    vocab = [f"p{i}" for i in range(60)]
+    texts = ["\n".join(" ".join(rng.choices(vocab, k=rng.choice([6, 9, 14]))) for _ in range(6)) for _ in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), *enumerate(texts[:5], 50)], DOCS)
+    seen, real = [], lines.prefix_rows
+
+    def rows(classes, turn):
+        found = real(classes, turn)
+        seen.append({(r.k, r.d, r.at) for r in found.collect()})
+        return found
+
+    monkeypatch.setattr(lines, "prefix_rows", rows)
+    got = sorted(map(tuple, lines.dedup_lines(docs).collect()))
+    # no pass holds more than about its share of the rows, and all of them are in one pass each
+    total = set().union(*seen)
+    assert sum(map(len, seen)) == len(total) > 500
+    assert len(seen) > 1 and max(map(len, seen)) < 0.75 * len(total)
+    monkeypatch.setattr(lines, "PASSES", 1)
+    assert sorted(map(tuple, lines.dedup_lines(docs).collect())) == got and set().union(*seen[2:]) == total
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(8)
     base = rng.standard_normal((12, 16))
