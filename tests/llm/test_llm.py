@@ -357,6 +357,47 @@ def test_line_join_in_passes(spark, monkeypatch):
     assert sorted(map(tuple, lines.dedup_lines(docs).collect())) == got and set().union(*seen[2:]) == total
 
 
+def test_long_lines_and_any_order_of_tokens(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [[f"w{rng.randrange(400)}" for _ in range(k)] for k in (50, 60, 64, 65, 66, 72, 90)]
+    texts = ["\n".join(" ".join(w if rng.random() > rng.choice([0, 0.05, 0.1]) else f"x{rng.randrange(400)}" for w in x[: len(x) - rng.randrange(12)]) for x in rng.choices(base, k=4)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    seen, want = [], []
+    for i, t in enumerate(texts):
+        keep = []
+        for x in t.split("\n"):
+            s = set(x.split(" "))
+            if not any(100 * len(s & y) >= 80 * len(s | y) for y in seen):
+                keep.append(x)
+            seen.append(s)
+        want.append((i, "\n".join(keep) if len(keep) < 4 else t, 4, 4 - len(keep)))
+    assert 0 < sum(x[3] for x in want) < 160
+    # rarity counted on a sample, on all documents and on none: the same lines
+    counted = []
+    for sample in (lines.SAMPLE, 1, 1 << 30):
+        monkeypatch.setattr(lines, "SAMPLE", sample)
+        counted.append(lines.counted(docs).count())
+        assert sorted(map(tuple, lines.dedup_lines(docs).collect())) == want
+    assert counted[0] < 20 and counted[1:] == [40, 0]
+
+
+def test_line_join_work_is_not_done_twice(spark):
+    docs = spark.createDataFrame([(1, "uno dos tres"), (2, "uno dos tres cuatro")], DOCS)
+    ranks = lines.rarity(docs)
+    found = lines.measured(docs, ranks, lines.Settings(), False).withColumn("open", F.col("d") > 1)
+    assert not lines.with_sets(lines.lines_of(docs, False), ranks).schema["t"].dataType.containsNull  # sorted as plain numbers
+    table = lines.written(found, "line-classes")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1")):
+            spark.conf.set(k, v)
+        plan = lines.prefix_pairs(lines.prefix_rows(table, 0), lines.Settings())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan and "ReusedExchange" in plan  # both sides of the join
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(8)
     base = rng.standard_normal((12, 16))
