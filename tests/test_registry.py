@@ -120,3 +120,18 @@ def test_needles_that_are_left_out_never_occur(needles, strings, strict):
 def test_no_cascade():
     assert Replacer({"A": "B", "B": "C"}).replace("A B") == ("B C", 2)
     assert Replacer({"cat": "DOG"}).replace("application certificate cat") == ("application certificate DOG", 1)
+
+
+def test_no_matcher_without_its_library(monkeypatch):
+    import importlib
+    import sys
+
+    from cloakframe.functions import replacing
+
+    # a stand-in that finds less would look like a result
+    with monkeypatch.context() as m:
+        m.setitem(sys.modules, "ahocorasick", None)
+        with pytest.raises(ImportError):
+            importlib.reload(replacing)
+    importlib.reload(replacing)
+    assert {k for _, _, k in replacing.Replacer({"ab": "x", "abc": "y", "bc": "z"}, False).hits("abc")} == {"ab", "abc", "bc"}
