@@ -66,3 +66,11 @@ def test_types_lose_every_wrapping(spark):
     names += ["Custom (custom( Email ) )", "custom  (Email)", "Custom (a) b)", "CUSTOM (Email)", "Custom (" * 3000 + "Email" + ")" * 3000]
     rows = spark.createDataFrame([(n,) for n in [*names, None]], "name string").select("name", normalize_type(F.col("name")).alias("out")).collect()
     assert {r.name: r.out for r in rows} == {n: plain(n) for n in names} | {None: None}
+
+
+def test_size_labels_beyond_a_long(spark, tmp_path):
+    from cloakframe.plans.queries import size_labels
+
+    spark.createDataFrame([(1,), (6,), (300_007,), (1_200_000,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    got = dict(map(tuple, size_labels(spark, str(tmp_path)).collect()))
+    assert got == {1: "7 B", 6: "1.5 KB", 300_007: f"{7 * 300_007**3 / 2**30:.2f} GB", 1_200_000: f"{7 * 1_200_000**3 / 2**30:.2f} GB"}
