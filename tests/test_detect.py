@@ -21,6 +21,12 @@ def test_card_context(spark):
     assert found(spark, text, "card") == [card]
 
 
+def test_card_at_a_line_start(spark):
+    # a line's end before the number is no part of its token
+    assert found(spark, "Nicht der.\n4881297747170635 Die", "card") == ["4881297747170635"]
+    assert found(spark, "der\n4881297747170635 Die", "card") == ["4881297747170635"]
+
+
 def test_ipv4_and_object_ids(spark):
     assert found(spark, r"iso.3.6.1.2.1 .1.3.6.1.4 192.168.1.10 10\.0\.0\.5 999.1.1.1 01.2.3.4", "ipv4") == ["192.168.1.10", r"10\.0\.0\.5"]
 
