@@ -381,6 +381,12 @@ def test_long_lines_and_any_order_of_tokens(spark, monkeypatch):
     assert counted[0] < 20 and counted[1:] == [40, 0]
 
 
+def test_rarity_counts_every_document(spark):
+    docs = spark.createDataFrame([(i, "uno") for i in range(40)], DOCS)
+    rank = spark.range(1).select(lines.rarity(docs)[lines.counter(F.xxhash64(F.lit("uno")))].cast("int")).first()[0]
+    assert rank == 10  # two for each doubling of 40
+
+
 def test_line_join_work_is_not_done_twice(spark):
     docs = spark.createDataFrame([(1, "uno dos tres"), (2, "uno dos tres cuatro")], DOCS)
     ranks = lines.rarity(docs)
