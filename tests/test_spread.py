@@ -1,4 +1,4 @@
-from cloakframe.operators import structured
+from cloakframe.operators import rewrite, structured
 from cloakframe.plans.engine import Engine
 from cloakframe.sources import shared
 
@@ -15,3 +15,24 @@ def test_announced_entries_are_read_from_a_table(spark):
     entries = Engine().registry(docs, "id", contextual=True)
     assert "MapInPandas" not in entries._jdf.queryExecution().executedPlan().toString()
     assert {r.original for r in entries.collect()} >= {"H1", "H2"}
+
+
+def test_parts_share_a_matcher(monkeypatch):
+    made = []
+
+    class Counted(rewrite.Replacer):
+        def __init__(self, pairs, strict):
+            made.append(len(pairs))
+            super().__init__(pairs, strict)
+
+    monkeypatch.setattr(rewrite, "Replacer", Counted)
+    monkeypatch.setattr(rewrite, "_pairs", lambda source: source)
+    parts = [(str(i), {f"w{i}": f"x{i}", f"w{i}.b": "y"}) for i in range(20)]
+    text = " ".join(f"w{i}" for i in range(20)) + " w3.b"
+    want = " ".join(f"x{i}" for i in range(20)) + " y"
+    assert rewrite.replaced(parts, True, [text]) == {text: (want, 21)}
+    assert len(made) == 1
+    made.clear()
+    monkeypatch.setattr(rewrite, "GATHERED", 7)
+    assert rewrite.replaced(parts, True, [text]) == {text: (want, 21)}
+    assert max(made) <= 7 and len(made) > 2
