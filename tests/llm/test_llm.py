@@ -387,6 +387,22 @@ def test_rarity_counts_every_document(spark):
     assert rank == 10  # two for each doubling of 40
 
 
+def test_line_plans_are_small_and_texts_are_split_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"uno dos tres cuatro cinco seis\nsiete ocho nueve p{i}") for i in range(20)], DOCS)
+    plans, real = [], lines.written
+
+    def written(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(lines, "written", written)
+    assert lines.dedup_lines(docs).agg(F.sum("n_removed")).first()[0] == 19
+    # the driver describes a plan anew for each of its stages: the table of ranks is in one plan without shuffles
+    large = [(name, plan) for name, plan in plans if len(plan) > lines.COUNTERS]
+    assert [name for name, _ in large] == ["lines"] and "Exchange" not in large[0][1]
+    assert "split(line" not in large[0][1] and sum(name == "line-words" for name, _ in plans) == 1
+
+
 def test_line_join_work_is_not_done_twice(spark):
     docs = spark.createDataFrame([(1, "uno dos tres"), (2, "uno dos tres cuatro")], DOCS)
     ranks = lines.rarity(docs)
