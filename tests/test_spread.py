@@ -36,3 +36,16 @@ def test_parts_share_a_matcher(monkeypatch):
     monkeypatch.setattr(rewrite, "GATHERED", 7)
     assert rewrite.replaced(parts, True, [text]) == {text: (want, 21)}
     assert max(made) <= 7 and len(made) > 2
+
+
+def test_one_worker_at_a_time_and_results_in_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"ana{i}@acme.org", "a") for i in range(30)], "id int, text string, report string")
+    entries = Engine().registry(docs.select("id", "text"), "id")
+    back = Engine().restore(Engine().protect(docs, entries), entries)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # each such step of a stage has its own worker and matcher in every task
+    assert sorted((r.id, r.text) for r in back.collect()) == [(i, f"ana{i}@acme.org") for i in range(30)]
+    monkeypatch.setattr(rewrite, "PIECE", 40)
+    source = [("one", type("B", (), {"value": {"uno": "dos"}}))]
+    rows = list(rewrite.rewritten_all(["uno " * 5] * 7 + [None], ["plaintext"] * 8, source, Engine().config, False))
+    assert [len(x) for x in rows] == [2, 2, 2, 2] and [r[1] for x in rows for r in x] == [5] * 7 + [0]
