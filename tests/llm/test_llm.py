@@ -9,8 +9,11 @@ import subprocess
 import sys
 import zlib
 from collections import Counter
+from contextlib import ExitStack
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -403,6 +406,35 @@ def test_line_plans_are_small_and_texts_are_split_once(spark, monkeypatch):
     assert "split(line" not in large[0][1] and sum(name == "line-words" for name, _ in plans) == 1
 
 
+def test_line_hashes_are_made_once_and_without_dictionaries(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"uno dos tres cuatro cinco seis\nsiete ocho nueve diez once p{i}") for i in range(20)], DOCS)
+    kinds, real = {}, lines.written
+
+    def written(df, name):
+        table = real(df, name)
+        files = [pq.ParquetFile(f).metadata for f in Path(table.written_at.removeprefix("file://")).glob("*.parquet")]
+        kinds.setdefault(name, set()).update(e for m in files for g in range(m.num_row_groups) for c in range(m.num_columns) for e in m.row_group(g).column(c).encodings)
+        return table
+
+    monkeypatch.setattr(lines, "written", written)
+    assert lines.dedup_lines(docs).agg(F.sum("n_removed")).first()[0] == 19
+    for name in ("line-words", "lines", "line-classes"):
+        assert kinds[name] and not any("DICTIONARY" in e for e in kinds[name])
+    # a line that is on several sides of pairs is split and hashed before it is sent to them
+    pairs = spark.createDataFrame([(2, 0, 1, 0)], "d long, at long, y_d long, y_at long")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    with ExitStack() as stack:
+        before = {k: spark.conf.get(k) for k in settings}
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+            stack.callback(spark.conf.set, k, before[k])
+        for marks in (False, True):
+            found = lines.verified(pairs, docs, lines.Settings(), marks)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("array_distinct(") == 1 and "ReusedExchange" in plan
+        assert [tuple(r) for r in lines.verified(pairs, docs, lines.Settings(), False).collect()] == [(2, 0)]
+
+
 def test_line_join_work_is_not_done_twice(spark):
     docs = spark.createDataFrame([(1, "uno dos tres"), (2, "uno dos tres cuatro")], DOCS)
     ranks = lines.rarity(docs)
